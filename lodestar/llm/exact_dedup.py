@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import ASCII_SPACE, Staged, binary_column
+from lodestar.llm.common import ASCII_SPACE, Staged, binary_column, pieces
 
 CAPACITY = 8_000
 MAX_DEPTH = 16
@@ -52,9 +52,7 @@ def _postings(hash_bits: int):
     mask = (1 << hash_bits) - 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in pieces(batches, "text", 8 << 20):
             sizes = pa.compute.fill_null(pa.compute.utf8_length(batch.column("text")), 0).to_pylist()
             ids = batch.column("doc_id").to_pylist()
             bodies = [x.translate(None, ASCII_SPACE) for x in binary_column(batch.column("text"))]

@@ -23,7 +23,7 @@ from __future__ import annotations
 import math
 import re
 from collections.abc import Iterator
-from html.parser import HTMLParser
+from html import unescape
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -53,7 +53,9 @@ NAMES = re.compile(
     re.I,
 )
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar form".split())
-SPACE = re.compile(r"\s+")
+FOREIGN = frozenset("svg path math use circle rect line g".split())
+P_SCOPE = frozenset("table td th button article section div li blockquote main".split())
+A_SCOPE, BLOCK_SCOPE = BLOCK - {"p"}, BLOCK - {"p", "br"}
 
 
 class Node:
@@ -66,11 +68,48 @@ class Node:
         self.inner_heading = False
 
 
-class _Tree(HTMLParser):
+# A tag with its attributes (quoted values may hold ">"), a comment, or a declaration; anything else is text.
+TOKEN = re.compile(r"""<(?:(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']|"[^"]*+"|'[^']*+')*+)>|!--(?:>|->|.*?(?:--!?>|\Z))|[!?/][^>]*+(?:>|\Z))""", re.S)
+LOOSE = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>")
+ATTRIBUTE = re.compile(r"""([^\s"'>/=]++)(?:\s*+=\s*+("[^"]*+"?|'[^']*+'?|[^\s"'>]++))?""")
+RAW = {tag: re.compile(rf"</{tag}(?=[\s/>])", re.I) for tag in ("script", "style", "textarea", "title", "xmp", "iframe", "noembed", "noframes")}
+
+
+class _Tree:
     def __init__(self) -> None:
-        super().__init__(convert_charrefs=True)
         self.root = self.at = Node("html", None)
 
+    def read(self, html: str) -> None:
+        at, end = 0, len(html)
+        while at < end:
+            sign = html.find("<", at)
+            if sign < 0 or html.find(">", sign) < 0 and not html.startswith("<!--", sign):
+                break
+            found = TOKEN.match(html, sign) or LOOSE.match(html, sign)
+            if found is None:
+                stop = html.find("<", sign + 1)
+                self.text(html[at : stop if stop >= 0 else end])
+                at = stop if stop >= 0 else end
+                continue
+            if sign > at:
+                self.text(html[at:sign])
+            at, tag = found.end(), found[2]
+            if tag is None:
+                continue
+            tag = tag.lower()
+            if found[1]:
+                self.close(tag)
+                continue
+            self.open(tag, found[3])
+            if tag in RAW:
+                stop = RAW[tag].search(html, at)
+                at = stop.start() if stop else end
+        if at < end:
+            self.text(html[at:])
+
+    def text(self, data: str) -> None:
+        self.at.kids.append(unescape(data) if "&" in data else data)
+
     def _close(self, wanted, stop=()) -> bool:
         node = self.at
         while node.parent is not None and node.tag not in stop:
@@ -80,43 +119,40 @@ class _Tree(HTMLParser):
             node = node.parent
         return False
 
-    def handle_starttag(self, tag: str, attrs: list) -> None:
+    def open(self, tag: str, rest: str) -> None:
         if tag in ("html", "body"):
             return
         if tag in ENDS_P:
-            self._close({"p"}, {"table", "td", "th", "button", "article", "section", "div", "li", "blockquote", "main"})
+            self._close(("p",), P_SCOPE)
         if tag in IMPLIED:
             close, stop = IMPLIED[tag]
             while self._close(close, stop):
                 pass
-        if tag == "a":
-            self._close({"a"}, BLOCK - {"p"})
-        if tag in VOID:
-            self.at.kids.append(Node(tag, self.at))
-            return
-        found = {k: v or "" for k, v in attrs}
-        named = "hidden" in found or found.get("role", "").lower() in ROLES or found.get("aria-hidden") == "true" or any(NAMES.search(found.get(k, "")) for k in ("class", "id")) or "display:none" in found.get("style", "").replace(" ", "").lower()
+        elif tag == "a":
+            self._close(("a",), A_SCOPE)
+        named = False
+        if rest and not rest.isspace() and tag not in VOID:
+            found = {k.lower(): v.strip("\"'") for k, v in ATTRIBUTE.findall(rest)}
+            named = (
+                "hidden" in found
+                or found.get("role", "").lower() in ROLES
+                or found.get("aria-hidden") == "true"
+                or any(k in found and NAMES.search(found[k]) for k in ("class", "id"))
+                or "display:none" in found.get("style", "").replace(" ", "").lower()
+            )
         node = Node(tag, self.at, named)
         self.at.kids.append(node)
-        self.at = node
-
-    def handle_startendtag(self, tag: str, attrs: list) -> None:
-        self.handle_starttag(tag, attrs)
-        if tag not in VOID and self.at.tag == tag and tag in ("svg", "path", "math", "use", "circle", "rect", "line"):
-            self.at = self.at.parent or self.at
+        if tag not in VOID and not (rest.endswith("/") and tag in FOREIGN):
+            self.at = node
 
-    def handle_endtag(self, tag: str) -> None:
+    def close(self, tag: str) -> None:
         if tag not in ("html", "body"):
-            self._close({tag}, () if tag in BLOCK else BLOCK - {"p", "br"})
-
-    def handle_data(self, data: str) -> None:
-        self.at.kids.append(data)
+            self._close((tag,), () if tag in BLOCK else BLOCK_SCOPE)
 
 
 def parse(html: str) -> Node:
     tree = _Tree()
-    tree.feed(html)
-    tree.close()
+    tree.read(html)
     return tree.root
 
 
@@ -153,7 +189,7 @@ def score(root: Node) -> list[Node]:
     for node in reversed(order):
         for kid in node.kids:
             if isinstance(kid, str):
-                node.chars += len(SPACE.sub("", kid))
+                node.chars += len("".join(kid.split()))
             else:
                 node.chars += kid.chars
                 node.tags += kid.tags + (kid.tag != "br")
