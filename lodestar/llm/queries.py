@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestar.llm import bpe, exact_dedup, html_extract, media, quality, source_mix, token_count
+from lodestar.llm import bpe, exact_dedup, html_extract, media, pii, quality, source_mix, token_count
 from lodestar.sources.tables import table
 
 
@@ -36,6 +36,10 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.count_tokens(table(spark, sf_dir, "documents")).withColumn("score", F.round("score", 4))
 
 
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.personal_data(table(spark, sf_dir, "documents"))
+
+
 def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_columns(table(spark, sf_dir, "documents"), keep_media=False).drop("media")
 
@@ -47,6 +51,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_exact_dedup": op5_exact_dedup,
     "op7_bpe": op7_bpe,
     "op8_token_counts": op8_token_counts,
+    "op9_pii": op9_pii,
     "op10_media_columns": op10_media_columns,
 }
 
