@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestar.llm import bpe, exact_dedup, html_extract, media, pii, quality, source_mix, token_count
+from lodestar.llm import bpe, exact_dedup, html_extract, media, ngram_join, pii, quality, source_mix, token_count
 from lodestar.sources.tables import table
 
 
@@ -24,6 +24,10 @@ def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", "quality_score", "quality_kept")
 
 
+def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents")).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
@@ -48,6 +52,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_html_extraction": op1_html_extraction,
     "op2_source_mix": op2_source_mix,
     "op3_quality_classifier": op3_quality_classifier,
+    "op4_ngram_join": op4_ngram_join,
     "op5_exact_dedup": op5_exact_dedup,
     "op7_bpe": op7_bpe,
     "op8_token_counts": op8_token_counts,
