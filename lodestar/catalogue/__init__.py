@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from importlib import import_module
 
-AREAS = ("filters", "retrieval")
+AREAS = ("filters", "retrieval", "texts")
 
 
 def queries() -> dict[str, Callable]:
