@@ -19,9 +19,10 @@ results don't depend on them.
 Documents meet in signature buckets. No bucket emits all its pairs: its members are paired with one
 pivot, the document richest in frequent tokens. Parity bitmaps bound the overlap from above and drop
 what can't link; the rest is verified on the full sets, and components are formed. Then, in buckets
-that still hold several components, the members outside the largest one are paired with members of
-other components, which completes the join: every pair that shares a signature is tested or
-connected already.
+that still hold several components, the members outside the largest one are compared with all
+members, which completes the join: every pair that shares a signature is tested or connected
+already. This last comparison goes by blocks of bitmaps, once per pair of blocks and not per shared
+signature, and only pairs that the bitmaps leave possible become rows.
 
 Equal sets of one task batch stand as one node. Words are hashed to 64 bits each, shingles to 64.
 
@@ -278,7 +279,7 @@ def _release(spark) -> None:
 
 
 def similarity_components(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """One row per document: _row, doc_id, n_shingles and component_id."""
+    """One row per document: its row, doc_id, n_shingles, component_id and label (a row of the component)."""
     spark = docs.sparkSession
     staged = Staged(spark)
     rows = source_rows(staged, docs, "doc_id", "text").select(ROW, F.col("doc_id").cast("long"), F.col("text").cast("string"))
@@ -309,7 +310,7 @@ def similarity_components(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     links = links.unionByName(more)
     labels = staged.put(components(staged, links))
 
-    rest = staged.put(_possible(_remaining(buckets, labels), nodes))
+    rest = staged.put(_remaining(staged, buckets, labels, nodes))
     ends = staged.put(rest.select(F.col("a").alias("row")).unionByName(rest.select(F.col("b").alias("row"))).distinct().join(sets.select("row"), "row", "left_anti"))
     sets = sets.unionByName(staged.put(_sets_of(rows, ends, shingle)))
     links = links.unionByName(staged.put(_links(rest, sets)))
@@ -318,25 +319,75 @@ def similarity_components(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
 
     placed = inputs.join(labels.select(F.col("node").alias("rep"), "label"), "rep", "left").select("row", "doc_id", "n", F.coalesce("label", "rep").alias("label"))
     smallest = placed.groupBy("label").agg(F.min("doc_id").alias("component_id"))
-    return placed.join(smallest, "label").select(F.col("row").alias(ROW), "doc_id", F.col("n").cast("long").alias("n_shingles"), "component_id")
+    return placed.join(smallest, "label").select(F.col("row").alias(ROW), "doc_id", F.col("n").cast("long").alias("n_shingles"), "component_id", "label")
 
 
-def _remaining(buckets: DataFrame, labels: DataFrame) -> DataFrame:
-    """Pairs within a bucket and across components that no pivot has tested.
+BLOCK = 512
 
-    Any such pair has an end outside the bucket's largest component, so only those members look for
-    partners.
+
+def _remaining(staged: Staged, buckets: DataFrame, labels: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Possible pairs (a, b) within a bucket and across components that no pivot has tested.
+
+    Any such pair has an end outside the bucket's largest component. So the members of all buckets
+    with one largest component form a neighbourhood, in which those outside it (the loose ones) are
+    compared with all.
     """
-    named = buckets.where("members > 2 and row <> pivot").join(labels.select(F.col("node").alias("row"), "label"), "row", "left").select("sig", "row", "n", F.coalesce("label", "row").alias("label"))
+    named = buckets.where("members > 2 and row <> pivot").join(labels.select(F.col("node").alias("row"), "label"), "row", "left").select("sig", "row", F.coalesce("label", "row").alias("label"))
     groups = named.groupBy("sig", "label").agg(F.count(F.lit(1)).alias("k"))
     largest = groups.groupBy("sig").agg(F.max_by("label", F.struct("k", "label")).alias("largest"), F.count(F.lit(1)).alias("labels")).where("labels > 1").select("sig", "largest")
-    live = named.join(largest, "sig")
-    a, b = live.where("label <> largest").alias("a"), live.alias("b")
-    together = (F.col("a.sig") == F.col("b.sig")) & (F.col("a.label") != F.col("b.label")) & ((F.col("b.label") == F.col("b.largest")) | (F.col("a.row") < F.col("b.row")))
-    pairs = a.join(b, together & _sized(F.col("a.n"), F.col("b.n"))).select(F.col("a.row").alias("a"), F.col("b.row").alias("b"))
-    return pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"))
+    near = named.join(largest, "sig").groupBy("largest", "row", "label").agg(F.lit(1).alias("one")).drop("one")
+    near = staged.put(near.join(nodes, "row").select("largest", "row", "label", "n", "bits", (F.col("label") != F.col("largest")).alias("loose"), F.length("bits").alias("width")))
+    sizes = near.groupBy("largest", "loose", "width").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    dealt = near.join(sizes, ["largest", "loose", "width"]).withColumn("block", F.pmod(F.xxhash64("row"), F.col("blocks")).cast("int"))
+    key = ["largest", "loose", "width", "block"]
+    packed = staged.put(dealt.groupBy(*key).agg(F.collect_list(F.struct("row", "label", "n", "bits")).alias("held")))
+    side = lambda c: packed.select(*(F.col(k).alias(f"{k}_{c}") for k in key))
+    a, b = side("a").where("loose_a"), side("b")
+    again = F.col("loose_b") & (F.struct("width_b", "block_b") < F.struct("width_a", "block_a"))
+    widths = (F.greatest("width_a", "width_b") <= 2 * F.least("width_a", "width_b"))
+    met = a.join(b, (F.col("largest_a") == F.col("largest_b")) & widths & ~again)
+    for c in ("a", "b"):
+        met = met.join(packed.select(*(F.col(k).alias(f"{k}_{c}") for k in key), F.col("held").alias(f"held_{c}")), [f"{k}_{c}" for k in key])
+    return met.select("held_a", "held_b").mapInArrow(_compare_blocks, "a long, b long").distinct()
+
+
+def _compare_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for i in range(batch.num_rows):
+            left, right = (_unpacked(batch.column(c)[i].values) for c in ("held_a", "held_b"))
+            width = min(left[3].shape[1], right[3].shape[1])
+            x, y = _folded(left[3], width), _folded(right[3], width)
+            for row, label, n, bits in zip(*left[:3], x, strict=True):
+                apart = np.bitwise_count(y ^ bits).sum(1, dtype=np.int64)
+                most = (n + right[2] - apart) // 2
+                hit = (100 * most >= SIMILAR * (n + right[2] - most)) & (right[1] != label)
+                if hit.any():
+                    other = right[0][hit]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(other, row)), pa.array(np.maximum(other, row))], names=["a", "b"])
+
+
+def _unpacked(held: pa.StructArray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    row, label, n = (np.asarray(held.field(c)).astype(np.int64) for c in ("row", "label", "n"))
+    bits = np.frombuffer(b"".join(held.field("bits").to_pylist()), np.uint8).reshape(len(row), -1)
+    return row, label, n, bits
+
+
+def _folded(bits: np.ndarray, width: int) -> np.ndarray:
+    while bits.shape[1] > width:
+        half = bits.shape[1] // 2
+        bits = bits[:, :half] ^ bits[:, half:]
+    return np.ascontiguousarray(bits).view(np.uint64)
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """doc_id, n_shingles and component_id of every document."""
-    return similarity_components(docs, shingle).drop(ROW)
+    return similarity_components(docs, shingle).drop(ROW, "label")
+
+
+def one_per_group(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
+    """The rows of docs, all columns, but of each component only the one with the smallest doc_id (null last), then row."""
+    staged = Staged(docs.sparkSession)
+    rows = source_rows(staged, docs, *docs.columns)
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", ROW))
+    kept = staged.put(similarity_components(rows.drop(ROW), shingle).groupBy("label").agg(first.alias("first")).select(f"first.{ROW}"))
+    return rows.join(kept, ROW, "left_semi").drop(ROW)
