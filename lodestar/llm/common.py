@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 ASCII_SPACE = b" \t\n\x0b\x0c\r"
-ROW = "_row"
+ROW = "_lodestar_row"
 
 _roots: dict[str, str] = {}
 
@@ -73,7 +73,7 @@ class Staged:
 
 
 def with_row(df: DataFrame) -> DataFrame:
-    """Adds _row, a number of each input row that is the same whenever the same scan runs again.
+    """Adds ROW, a number of each input row that is the same whenever the same scan runs again.
 
     It tells rows apart that share a doc_id. Call it directly on a table scan (or a staged table):
     scans deal out files and rows in the same way each time, results of a shuffle need not.
@@ -82,7 +82,7 @@ def with_row(df: DataFrame) -> DataFrame:
 
 
 def source_rows(staged: Staged, df: DataFrame, *columns: str) -> DataFrame:
-    """The named columns and _row; anything but a plain scan is staged first, so that _row is stable."""
+    """The named columns and ROW; anything but a plain scan is staged first, so that ROW is stable."""
     picked = df.select(*columns)
     if not _plain_scan(df):
         picked = staged.put(picked)

@@ -15,9 +15,8 @@ One group may hold any share of the rows: a batch sends one posting for it, and
 meet in the owner.
 
 Cases: null text counts as empty; empty texts are equal to each other; very long texts are compared
-whole; ties in length go to the smallest doc_id, null doc_ids come last; repeated rows are rows of
-their group (both kept if they are exactly the row that stays, having one doc_id); an empty table
-gives an empty one; other columns are not read.
+whole; ties in length go to the smallest doc_id, null last, then to the first row, so that of repeated
+rows one stays; an empty table gives an empty one; other columns are not read.
 """
 
 from __future__ import annotations
@@ -31,21 +30,23 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import ASCII_SPACE, Staged, binary_column, pieces
+from lodestar.llm.common import ASCII_SPACE, ROW, Staged, binary_column, pieces, source_rows
 
 CAPACITY = 8_000
 MAX_DEPTH = 16
 
-ENTRY = "doc_id long, size long, hash long, sha binary, body binary, members long, best_size long, best_id long"
-OWNED = "hash long, sha binary, chain int, members long, best_size long, best_id long"
-_KINDS = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.int64()]
+ENTRY = "row long, doc_id long, size long, hash long, sha binary, body binary, members long, best_size long, best_id long, best_row long"
+OWNED = "hash long, sha binary, chain int, members long, best_size long, best_id long, best_row long"
+_KINDS = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
 
 
-def better(a: tuple[int, int | None], b: tuple[int, int | None]) -> bool:
-    """Whether (code points, doc_id) a stays rather than b."""
+def better(a: tuple[int, int | None, int], b: tuple[int, int | None, int]) -> bool:
+    """Whether (code points, doc_id, row) a stays rather than b."""
     if a[0] != b[0]:
         return a[0] > b[0]
-    return a[1] is not None and (b[1] is None or a[1] < b[1])
+    if a[1] != b[1]:
+        return a[1] is not None and (b[1] is None or a[1] < b[1])
+    return a[2] < b[2]
 
 
 def _postings(hash_bits: int):
@@ -54,24 +55,24 @@ def _postings(hash_bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, "text", 8 << 20):
             sizes = pa.compute.fill_null(pa.compute.utf8_length(batch.column("text")), 0).to_pylist()
-            ids = batch.column("doc_id").to_pylist()
+            ids, at = batch.column("doc_id").to_pylist(), batch.column(ROW).to_pylist()
             bodies = [x.translate(None, ASCII_SPACE) for x in binary_column(batch.column("text"))]
             first: dict[bytes, list] = {}
             keys = []
-            for body, size, doc in zip(bodies, sizes, ids, strict=True):
+            for body, size, doc, row in zip(bodies, sizes, ids, at, strict=True):
                 entry = first.get(body)
                 if entry is None:
                     key = xxhash.xxh3_64_intdigest(body) & mask
-                    entry = first[body] = [key - (1 << 64) if key >= 1 << 63 else key, hashlib.sha256(body).digest(), 0, size, doc]
+                    entry = first[body] = [key - (1 << 64) if key >= 1 << 63 else key, hashlib.sha256(body).digest(), 0, size, doc, row]
                 entry[2] += 1
-                if better((size, doc), (entry[3], entry[4])):
-                    entry[3:] = [size, doc]
+                if better((size, doc, row), tuple(entry[3:])):
+                    entry[3:] = [size, doc, row]
                 keys.append(entry)
             rows = list(first.items())
             blank = [None] * len(ids)
-            digest = [ids, sizes, [e[0] for e in keys], [e[1] for e in keys], blank, blank, blank, blank]
+            digest = [at, ids, sizes, [e[0] for e in keys], [e[1] for e in keys], *[blank] * 5]
             none = [None] * len(rows)
-            posting = [none, none, [e[0] for _, e in rows], [e[1] for _, e in rows], [b for b, _ in rows], *([e[i] for _, e in rows] for i in (2, 3, 4))]
+            posting = [none, none, none, [e[0] for _, e in rows], [e[1] for _, e in rows], [b for b, _ in rows], *([e[i] for _, e in rows] for i in (2, 3, 4, 5))]
             names = [f.split()[0] for f in ENTRY.split(", ")]
             for table in (digest, posting):
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(table, _KINDS, strict=True)], names=names)
@@ -113,36 +114,36 @@ def _own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Postings come sorted by hash; only the chain of the hash at hand is in memory."""
     at, chain, rows = None, [], []
     for batch in batches:
-        for key, sha, body, members, size, doc in zip(*(batch.column(c).to_pylist() for c in ("hash", "sha", "body", "members", "best_size", "best_id")), strict=True):
+        for key, sha, body, members, *best in zip(*(batch.column(c).to_pylist() for c in ("hash", "sha", "body", "members", "best_size", "best_id", "best_row")), strict=True):
             if key != at:
                 rows += [(at, x[1], i, *x[2:]) for i, x in enumerate(chain)]
                 at, chain = key, []
             link = next((x for x in chain if x[0] == body), None)
             if link is None:
-                chain.append([body, sha, members, size, doc])
+                chain.append([body, sha, members, *best])
                 continue
             link[2] += members
-            if better((size, doc), (link[3], link[4])):
-                link[3:] = [size, doc]
+            if better(tuple(best), tuple(link[3:])):
+                link[3:] = best
         yield _owned_batch(rows)
         rows = []
     yield _owned_batch([(at, x[1], i, *x[2:]) for i, x in enumerate(chain)])
 
 
 def _owned_batch(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = [pa.int64(), pa.binary(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
+    kinds = [pa.int64(), pa.binary(), pa.int32(), *[pa.int64()] * 4]
     columns = list(zip(*rows, strict=True)) or [()] * len(kinds)
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=[f.split()[0] for f in OWNED.split(", ")])
 
 
 def exact_groups(docs: DataFrame, capacity: int = CAPACITY, max_depth: int = MAX_DEPTH, hash_bits: int = 64) -> DataFrame:
-    """One row per document: doc_id, size (code points), keep_id, group_size, kept, text_sha256, chain.
+    """One row per document: its row, doc_id, size (code points), keep_id, group_size, kept, text_sha256, chain.
 
     hash_bits below 64 provokes collisions, for tests.
     """
     spark = docs.sparkSession
     staged = Staged(spark)
-    entries = staged.put(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_postings(hash_bits), ENTRY))
+    entries = staged.put(source_rows(staged, docs, "doc_id", "text").select(ROW, F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_postings(hash_bits), ENTRY))
     postings = entries.where("body is not null")
     prefix = F.expr(f"cast(shiftrightunsigned(hash, {64 - max_depth}) as int)")
     counts = {r["prefix"]: r["n"] for r in postings.groupBy(prefix.alias("prefix")).agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -150,20 +151,29 @@ def exact_groups(docs: DataFrame, capacity: int = CAPACITY, max_depth: int = MAX
     pointers = staged.put(spark.createDataFrame(directory.pointers(), "pointer int, bucket int"))  # 2**max_depth rows at most
     cell = F.expr(f"cast(shiftrightunsigned(hash, {64 - directory.depth}) as int)") if directory.depth else F.lit(0)
     owned = (
-        postings.select("hash", "sha", "body", "members", "best_size", "best_id", cell.alias("pointer"))
+        postings.select("hash", "sha", "body", "members", "best_size", "best_id", "best_row", cell.alias("pointer"))
         .join(F.broadcast(pointers), "pointer")
         .repartition(max(1, len(directory)), "bucket")
         .sortWithinPartitions("hash")
         .mapInArrow(_own, OWNED)
     )
     groups = staged.put(owned)
-    digests = entries.where("body is null").select("doc_id", "size", "hash", "sha")
+    digests = entries.where("body is null").select("row", "doc_id", "size", "hash", "sha")
     return digests.join(groups, ["hash", "sha"]).select(
+        F.col("row").alias(ROW),
         "doc_id",
         "size",
         F.col("best_id").alias("keep_id"),
         F.col("members").alias("group_size"),
-        (F.col("doc_id").eqNullSafe(F.col("best_id")) & (F.col("size") == F.col("best_size"))).alias("kept"),
+        (F.col("row") == F.col("best_row")).alias("kept"),
         F.lower(F.hex("sha")).alias("text_sha256"),
         "chain",
     )
+
+
+def deduplicate(docs: DataFrame) -> DataFrame:
+    """The rows that stay, with all their columns."""
+    staged = Staged(docs.sparkSession)
+    rows = source_rows(staged, docs, *docs.columns)
+    kept = staged.put(exact_groups(rows.drop(ROW)).where("kept").select(ROW))
+    return rows.join(kept, ROW, "left_semi").drop(ROW)

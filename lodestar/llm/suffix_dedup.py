@@ -413,7 +413,7 @@ def removed_spans(size: int, whole: np.ndarray, spans: np.ndarray) -> np.ndarray
     return np.column_stack([starts[new], ends[np.append(np.flatnonzero(new)[1:], len(starts)) - 1]]).astype(np.int64)
 
 
-RESULT = "_row long, doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans binary, kept binary"
+RESULT = f"{ROW} long, doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans binary, kept binary"
 
 
 def _cut_out(keep_bytes: bool):
