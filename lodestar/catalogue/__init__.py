@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from importlib import import_module
 
-AREAS = ("filters", "retrieval", "texts", "knowledge")
+AREAS = ("filters", "retrieval", "texts", "knowledge", "operations")
 
 
 def queries() -> dict[str, Callable]:

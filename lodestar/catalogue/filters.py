@@ -43,7 +43,7 @@ def lookup_ids(spark, sf_dir):
 
 
 @query("""
-, r(ref) AS (VALUES ('files:12'), ('Docs/src4/Report_2.odt'), ('report_3.md'), ('Report_7'), ('missing.txt')),
+, r(ref) AS (VALUES ('files:12'), ('Docs/src3/Report_3.txt'), ('report_3.md'), ('Report_7'), ('missing.txt')),
 m AS (
   SELECT ref, document_id, 1 AS tier FROM r JOIN corpus ON document_id = ref
   UNION ALL SELECT ref, document_id, 2 FROM r JOIN corpus ON lower(path) = lower(ref)
@@ -54,7 +54,7 @@ SELECT r.ref, b.tier, count(m.document_id) AS n, CASE WHEN count(m.document_id)
 FROM r LEFT JOIN b USING (ref) LEFT JOIN m ON m.ref = r.ref AND m.tier = b.tier GROUP BY r.ref, b.tier""")
 def resolve_references(spark, sf_dir):
     """Id, then path, then base name; more than one match of the best kind is ambiguous."""
-    refs = ["files:12", "Docs/src4/Report_2.odt", "report_3.md", "Report_7", "missing.txt"]
+    refs = ["files:12", "Docs/src3/Report_3.txt", "report_3.md", "Report_7", "missing.txt"]
     r = F.broadcast(spark.createDataFrame([(x, x.lower()) for x in refs], "ref string, low string"))
     docs = corpus(spark, sf_dir).select("document_id", "path", F.lower("path").alias("low_path"), F.lower(paths.filename(F.col("path"))).alias("low_name"))
     ways = [

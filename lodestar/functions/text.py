@@ -115,10 +115,10 @@ def middle_compatible(a: Column, b: Column) -> Column:
 @F.pandas_udf(NUMBER)
 def indel_ratio(left: pd.Series, right: pd.Series) -> pd.Series:
     """100 * 2 * LCS / (length + length), by bit-parallel longest common subsequence."""
-    return pd.Series([_indel(a, b) for a, b in zip(left, right, strict=True)], dtype="float64")
+    return pd.Series([indel(a, b) for a, b in zip(left, right, strict=True)], dtype="float64")
 
 
-def _indel(a: str | None, b: str | None) -> float | None:
+def indel(a: str | None, b: str | None) -> float | None:
     if a is None or b is None:
         return None
     if not a and not b:

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestar.functions.paths import directory, extension, filename
+from lodestar.functions.text import indel
 
 # Extensions whose files may be variants of one document, and the near-text limits.
 VARIANTS = ("odt", "pdf", "doc", "docx", "rtf", "txt", "md", "html")
@@ -35,8 +36,10 @@ def near_text(a: str, b: str) -> bool:
     short, long = sorted((len(a), len(b)))
     if short < NEAR_CHARS or short < LENGTH_RATIO * long:
         return False
+    if indel(a, b) < 100 * TEXT_RATIO:  # matching blocks are a common subsequence, so this bounds the matcher's ratio
+        return False
     m = SequenceMatcher(None, a, b, autojunk=False)
-    return m.real_quick_ratio() >= TEXT_RATIO and m.quick_ratio() >= TEXT_RATIO and m.ratio() >= TEXT_RATIO
+    return m.ratio() >= TEXT_RATIO
 
 
 OUT = "query_id long, document_id string, rank int, representative string, reason string, variants array<string>"

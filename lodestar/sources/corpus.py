@@ -1,6 +1,6 @@
 """The corpus view: documents with paths, origins, owners and dates derived from the driver's table.
 
-The table has no paths or owners, so they follow from doc_id and source by fixed rules. CORPUS is the
+The table has no paths or owners, so they follow from doc_id by fixed rules. CORPUS is the
 same view in SQL.
 """
 
@@ -18,7 +18,7 @@ TYPES = ("text/plain", "text/markdown", "application/pdf", "application/vnd.oasi
 CORPUS = """
 corpus AS (
   SELECT 'files:' || doc_id AS document_id, doc_id, source,
-    CASE doc_id % 10 WHEN 0 THEN 'Archive/Mail' WHEN 1 THEN 'Archive/Chats' WHEN 2 THEN 'Archive/Web' ELSE 'Docs' END || '/' || source || '/'
+    CASE doc_id // 2 % 10 WHEN 0 THEN 'Archive/Mail' WHEN 1 THEN 'Archive/Chats' WHEN 2 THEN 'Archive/Web' ELSE 'Docs' END || '/src' || (doc_id // 2 % 20) || '/'
       || CASE WHEN doc_id % 50 = 3 THEN '.' ELSE '' END || 'Report_' || (doc_id // 2)
       || CASE doc_id % 7 WHEN 0 THEN '.txt' WHEN 1 THEN '.md' WHEN 2 THEN '.pdf' WHEN 3 THEN '.odt' WHEN 4 THEN '.png' WHEN 5 THEN '.eml' ELSE '' END AS path,
     CASE doc_id % 7 WHEN 0 THEN 'text/plain' WHEN 1 THEN 'text/markdown' WHEN 2 THEN 'application/pdf' WHEN 3 THEN 'application/vnd.oasis.opendocument.text'
@@ -42,14 +42,15 @@ def _choice(n: Column, values: tuple[str, ...], other: str | None = None) -> Col
 
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = F.col("doc_id")
+    half = F.floor(n / 2)  # two documents share a folder and a name
     part = lambda k, p: F.concat(F.lit(p), (n % k).cast("string"))
     extension = _choice(n % 7, tuple(f".{e}" if e else "" for e in EXTENSIONS))
-    name = F.concat(F.when(n % 50 == 3, ".").otherwise(""), F.lit("Report_"), F.floor(n / 2).cast("string"), extension)
+    name = F.concat(F.when(n % 50 == 3, ".").otherwise(""), F.lit("Report_"), half.cast("string"), extension)
     return table(spark, sf_dir, "documents").select(
         F.concat(F.lit("files:"), n.cast("string")).alias("document_id"),
         "doc_id",
         "source",
-        F.concat_ws("/", _choice(n % 10, ROOTS, "Docs"), "source", name).alias("path"),
+        F.concat_ws("/", _choice(half % 10, ROOTS, "Docs"), F.concat(F.lit("src"), (half % 20).cast("string")), name).alias("path"),
         _choice(n % 7, TYPES).alias("content_type"),
         F.col("text").alias("content"),
         F.md5("text").alias("content_hash"),
