@@ -124,7 +124,7 @@ def mix(docs: DataFrame, block_words: int = BLOCK_WORDS, shards: int = SHARDS, s
     base = source_rows(staged, docs, "doc_id", "source", "text")
     sized = staged.put(base.select(ROW, F.col("doc_id").cast("long"), F.col("source").cast("string"), F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size")))
     total = sized.count()
-    salt = F.pmod(F.xxhash64(ROW), F.lit(max(1, -(-total // CELL_DOCS))))
+    salt = F.pmod(F.xxhash64(F.coalesce("doc_id", ROW)), F.lit(max(1, -(-total // CELL_DOCS))))  # by doc_id, so that the layout of the input doesn't matter
     catalogue = sized.groupBy("source").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("docs")).limit(MAX_SOURCES + 1).collect()
     if len(catalogue) > MAX_SOURCES:
         raise ValueError(f"more than {MAX_SOURCES} sources")
@@ -146,7 +146,7 @@ def mix(docs: DataFrame, block_words: int = BLOCK_WORDS, shards: int = SHARDS, s
     before = cells.select("source", "cell", (F.sum("cell_size").over(Window.partitionBy("source").orderBy("cell")) - F.col("cell_size")).alias("base"))
     placed = (
         sized.withColumn("cell", salt)
-        .withColumn("inner", F.sum("size").over(Window.partitionBy("source", "cell").orderBy(F.xxhash64(F.col(ROW) + F.lit(seed)), ROW).rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("size"))
+        .withColumn("inner", F.sum("size").over(Window.partitionBy("source", "cell").orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id", "size", ROW).rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("size"))
         .alias("d")
         .join(before.alias("b"), F.col("d.source").eqNullSafe(F.col("b.source")) & (F.col("d.cell") == F.col("b.cell")), "left")
         .select("d.*", F.coalesce("b.base", F.lit(0)).alias("base"))
@@ -182,15 +182,12 @@ def mixed_documents(docs: DataFrame, block_words: int = BLOCK_WORDS, shards: int
     n_chars (code points of the new text). Documents without words have nothing to take.
     """
     staged = Staged(docs.sparkSession)
-    base = docs if {"doc_id", "text", "lang", "source"} - set(docs.columns) == set() else None
-    if base is None:
-        raise ValueError("mixed_documents needs doc_id, text, lang and source")
-    placed, spans, slots = mix(docs, block_words, shards, seed, staged)
+    rows = source_rows(staged, docs, "doc_id", "text", "lang", "source")
+    placed, spans, slots = mix(rows.drop(ROW), block_words, shards, seed, staged)
     pieces = spans.join(slots.select("source_no", "pass", "block"), ["source_no", "block"]).groupBy(ROW, "pass").agg(F.sum("words").alias("words"), F.array_sort(F.collect_list(F.struct("at", "words"))).alias("pieces"))
     pieces = pieces.join(placed.select(ROW, "size"), ROW).select(ROW, "pass", F.when(F.col("words") < F.col("size"), F.col("pieces")).alias("pieces"))
     words = F.regexp_extract_all("text", F.lit(f"({WORD})"))
     cut = F.concat_ws(" ", F.flatten(F.transform("pieces", lambda p: F.slice("words", p["at"].cast("int") + 1, p["words"].cast("int")))))
-    rows = source_rows(staged, docs, "doc_id", "text", "lang", "source")
     return (
         rows.join(pieces, ROW)
         .select("doc_id", "text", "lang", "source", "pieces", F.when(F.col("pieces").isNotNull(), words).alias("words"))
