@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# Names of the archives, their scopes and the short forms of those.
 MAIL_ROOT, CHAT_ROOT, WEB_ROOT = "Archive/Mail", "Archive/Chats", "Archive/Web"
 SCOPE_ALIASES = {"files": "documents", "mail": "mailarchive", "chat": "chatarchive", "web": "chatarchive", "webarchive": "chatarchive"}
 SCOPE_ORIGINS = {"documents": ("internal",), "mailarchive": ("mail_archive",), "chatarchive": ("chat_archive", "web_archive")}
