@@ -307,14 +307,17 @@ def similarity_components(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     links = staged.put(_links(best, sets))
     labels = staged.put(components(staged, links))
     more = staged.put(_links(_across(starred, labels), sets))
-    links = links.unionByName(more)
-    labels = staged.put(components(staged, links))
+    if not more.isEmpty():
+        links = links.unionByName(more)
+        labels = staged.put(components(staged, links))
 
     rest = staged.put(_remaining(staged, buckets, labels, nodes))
-    ends = staged.put(rest.select(F.col("a").alias("row")).unionByName(rest.select(F.col("b").alias("row"))).distinct().join(sets.select("row"), "row", "left_anti"))
-    sets = sets.unionByName(staged.put(_sets_of(rows, ends, shingle)))
-    links = links.unionByName(staged.put(_links(rest, sets)))
-    labels = staged.put(components(staged, links))
+    if not rest.isEmpty():
+        ends = staged.put(rest.select(F.col("a").alias("row")).unionByName(rest.select(F.col("b").alias("row"))).distinct().join(sets.select("row"), "row", "left_anti"))
+        sets = sets.unionByName(staged.put(_sets_of(rows, ends, shingle)))
+        found = staged.put(_links(rest, sets))
+        if not found.isEmpty():
+            labels = staged.put(components(staged, links.unionByName(found)))
     _release(spark)
 
     placed = inputs.join(labels.select(F.col("node").alias("rep"), "label"), "rep", "left").select("row", "doc_id", "n", F.coalesce("label", "rep").alias("label"))
