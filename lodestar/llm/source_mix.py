@@ -39,7 +39,7 @@ CAP = 2
 BLOCK_WORDS = 64
 SHARDS = 64
 SEED = 17
-CELL_DOCS = 50_000
+CELL_DOCS = 4_000
 MAX_SOURCES = 1_000_000
 SLICE = 1 << 18
 
