@@ -140,7 +140,8 @@ def mix(docs: DataFrame, block_words: int = BLOCK_WORDS, shards: int = SHARDS, s
     counts = draw_shards(quotas, shards, seed)
     firsts = np.cumsum(counts, axis=0) - counts
     runs = [(k, i, int(f), int(min(SLICE, n - (f - firsts[k, i]))), blocks[i]) for k in range(shards) for i, n in enumerate(counts[k].tolist()) for f in range(int(firsts[k, i]), int(firsts[k, i]) + n, SLICE)]
-    slots = spark.createDataFrame(runs, "shard int, source_no int, first long, n long, blocks long").repartition("shard").mapInPandas(_expand, "shard int, slot long, source_no int, pass int, block long")
+    # Staged, so that the slots' own size, not that of their runs, decides how they are joined.
+    slots = staged.put(spark.createDataFrame(runs, "shard int, source_no int, first long, n long, blocks long").repartition("shard").mapInPandas(_expand, "shard int, slot long, source_no int, pass int, block long"))
 
     cells = sized.where("size > 0").groupBy("source", salt.alias("cell")).agg(F.sum("size").alias("cell_size"))
     before = cells.select("source", "cell", (F.sum("cell_size").over(Window.partitionBy("source").orderBy("cell")) - F.col("cell_size")).alias("base"))
