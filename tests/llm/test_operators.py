@@ -347,6 +347,16 @@ def test_revealing_terms(spark):
     assert clean[20].endswith("[TERM] [EMAIL] n20") and clean[1] == texts[1]
 
 
+@pytest.mark.parametrize("n", [1, 2])
+def test_rare_values_have_revealing_terms(spark, n):
+    texts = prose(12, 400, 30, 40)
+    for i in range(n):
+        texts[i] += " zorblatt bob@x.org"
+    docs = frame(spark, texts + texts[-1:] * 3)
+    got = {r.doc_id: r.n_term for r in pii.personal_data(docs).collect()}
+    assert all(got[i] == (i < n) for i in range(len(texts)))
+
+
 # op10
 
 
