@@ -7,8 +7,11 @@ Then every node gets its characters, tags, link characters and link tags, its co
     C/T * log(C/LC * T/LT) in base ln(C/notLC * LC + LCb/Cb * C + e)
 
 (b: the body; empty counts as 1), and the sum of its children's densities. The threshold is the
-smallest density on the path from the body to the node of the largest sum; of the nodes at or above
-it, the one with the largest sum is the article.
+smallest density on the path from the body to the node of the largest sum. From the body down, every
+node at or above it gives content: a container the part of the largest sum within it, then what its
+other children give; anything else itself as a whole. Beside content in a container, loose text and
+blocks that aren't mostly links stay, such as short paragraphs and titles; beside content directly in
+the body, which frames the page, only the headings before it stay.
 
 Blocks of the article: white space runs become one space, ends are trimmed, empty blocks go, and
 blocks are joined by one line feed. <br> ends a block.
@@ -54,6 +57,11 @@ NAMES = re.compile(
 )
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar form".split())
 FOREIGN = frozenset("svg path math use circle rect line g".split())
+# Elements that lay out a page; table parts do where they hold such blocks. Others are content or not as a whole.
+CONTAINERS = frozenset("html article center div main section".split())
+TABLE_PARTS = frozenset("table tbody td tfoot th thead tr".split())
+LAID_OUT = frozenset("article blockquote center div h1 h2 main ol p section table ul".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 header hgroup".split())
 P_SCOPE = frozenset("table td th button article section div li blockquote main".split())
 A_SCOPE, BLOCK_SCOPE = BLOCK - {"p"}, BLOCK - {"p", "br"}
 
@@ -209,8 +217,35 @@ def score(root: Node) -> list[Node]:
     return order
 
 
-def main_node(root: Node) -> Node | None:
-    """The subtree of the largest density sum among the nodes at or above the body path's smallest density."""
+def _frames(order: list[Node]) -> set[Node]:
+    """The nodes that lay out the page."""
+    laid, out = set(), set()
+    for node in reversed(order):
+        if any(isinstance(k, Node) and (k.tag in LAID_OUT or k in laid) for k in node.kids):
+            laid.add(node)
+        if node.tag in CONTAINERS or (node.tag in TABLE_PARTS and node in laid):
+            out.add(node)
+    return out
+
+
+def _marked(root: Node, order: list[Node], frames: set[Node], threshold: float) -> set[Node]:
+    """The content nodes, from the body down."""
+    best: dict[Node, Node] = {}
+    for node in reversed(order):
+        best[node] = max((node, *(best[k] for k in node.kids if isinstance(k, Node))), key=lambda n: n.total)
+    marked, todo = set(), [root]
+    while todo:
+        node = todo.pop()
+        if node in marked or node.density < threshold:
+            continue
+        marked.add(best[node] if node in frames else node)
+        if node not in marked:
+            todo += [k for k in node.kids if isinstance(k, Node)]
+    return marked
+
+
+def content(root: Node) -> Node | None:
+    """The tree with what is content: the subtrees at or above the body path's smallest density and what belongs to them."""
     prune(root)
     order = score(root)
     if not root.chars:
@@ -221,7 +256,30 @@ def main_node(root: Node) -> Node | None:
     threshold, node = math.inf, top
     while node is not None:
         threshold, node = min(threshold, node.density), node.parent
-    return max((n for n in order if n.density >= threshold), key=lambda n: n.total)
+    frames = _frames(order)
+    marked = _marked(root, order, frames, threshold)
+    around = set()
+    for node in marked:
+        while (node := node.parent) is not None and node not in around:
+            around.add(node)
+    todo = [root]
+    while todo:
+        node = todo.pop()
+        if node in marked:
+            continue
+        kept, later = [], False
+        for kid in reversed(node.kids):
+            if kid in marked or kid in around:
+                later = True
+            elif node is root:
+                if isinstance(kid, str) or kid.tag not in HEADINGS or not later:
+                    continue
+            elif isinstance(kid, Node) and ((kid in frames and kid.tag != "section") or 2 * kid.link_chars > kid.chars):
+                continue
+            kept.append(kid)
+        node.kids = kept[::-1]
+        todo += [k for k in kept if k in around]
+    return root
 
 
 def blocks(root: Node) -> list[str]:
@@ -252,7 +310,7 @@ def blocks(root: Node) -> list[str]:
 def main_text(html: str | None) -> str:
     if not html:
         return ""
-    node = main_node(parse(html))
+    node = content(parse(html))
     return "\n".join(blocks(node)) if node is not None else ""
 
 

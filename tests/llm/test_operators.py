@@ -42,6 +42,22 @@ def test_article_text():
     assert html_extract.main_text(html) == "T & u\nLead\nOne two three."
 
 
+PLAIN = "Some plain words that make up a paragraph of the text. " * 6
+LINKED = '<p>Some <a href="/x">linked words</a> here in this short one.</p>'
+SECTIONS = "".join(f"<section><h2>Part {i}</h2>{f'<p>{PLAIN}</p>' * 6}</section>" for i in range(3))
+ITEMS = f"<ul>{'<li>An item of the list that has about fifty characters</li>' * 30}</ul>"
+ROWS = f"<table><thead><tr><th>A<th>B</thead>{'<tr><td>one cell of the table<td>the other cell of it</tr>' * 60}</table>"
+
+
+@pytest.mark.parametrize("tag", ["article", "div"])
+@pytest.mark.parametrize("link", ["", LINKED])
+@pytest.mark.parametrize("parts", [SECTIONS, f"<p>{PLAIN}</p>" * 4 + ITEMS, ITEMS + f"<p>{PLAIN}</p>", f"<p>{PLAIN}</p>" * 2 + ROWS + "<p>End.</p>", f"<div>{SECTIONS}</div><p>End.</p>"])
+def test_whole_articles(tag, link, parts):
+    inner = f"<h1>Title</h1>{link}{parts}"
+    page = f'<body><nav><a href="/">Home</a></nav><div><a href="/a">One</a> <a href="/b">Two</a> <a href="/c">Three</a></div><{tag}>{inner}</{tag}><footer>foot</footer></body>'
+    assert html_extract.main_text(page) == "\n".join(html_extract.blocks(html_extract.parse(inner)))
+
+
 @pytest.mark.parametrize("html", [None, "", " ", "<", "<p", "<!-- never closed", "<script>", "</p></p>", "<a href='"])
 def test_broken_pages_have_no_text_or_plain_text(html):
     assert html_extract.main_text(html) in ("", "<", "<p", "<a href='")
