@@ -373,6 +373,21 @@ def test_rare_values_have_revealing_terms(spark, n):
     assert all(got[i] == (i < n) for i in range(len(texts)))
 
 
+def test_revealing_terms_stand_anywhere_in_the_text(spark):
+    texts = prose(13, 400, 30, 40)
+    far = " ".join(["w1"] * 40)
+    texts[5] = f"Bo Zorblatt {far} x@y.org bob@x.org, {far} zorblatt w2 BO"
+    docs = frame(spark, texts + [texts[5]])  # a copy
+    got = {r.doc_id: r for r in pii.personal_data(docs).collect()}
+    words = [(m.start(), m.end()) for m in re.finditer("bo |zorblatt|bo$", texts[5].lower())]
+    want = [f"term:{a}:{a + len(texts[5][a:b].strip())}" for a, b in words]
+    for i in (5, 400):
+        assert [x for x in got[i].spans.split(",") if x.startswith("term")] == want and got[i].n_email == 2
+    assert all(got[i].n_term == 0 for i in range(400) if i != 5)
+    clean = {r.doc_id: r.text for r in pii.sanitise(docs).collect()}
+    assert clean[5] == clean[400] == f"[TERM] [TERM] {far} [EMAIL] [EMAIL], {far} [TERM] w2 [TERM]"
+
+
 # op10
 
 
