@@ -158,7 +158,7 @@ def filename_variants(spark, sf_dir):
 
 def pools(spark, sf_dir):
     """Rankings with what the duplicate tests need."""
-    d = corpus(spark, sf_dir).select("document_id", dedup.trusted_hash(F.col("content_hash")).alias("hash"), dedup.file_signature(F.col("path")).alias("s"), F.substring(text.comparable(F.col("content")), 1, 2000).alias("text"))
+    d = corpus(spark, sf_dir).select("document_id", dedup.trusted_hash(F.col("content_hash")).alias("hash"), dedup.file_signature(F.col("path")).alias("s"), text.comparable(F.col("content")).alias("text"))
     return lexical_hits(spark, sf_dir).select("query_id", "document_id", "rank").join(d, "document_id").select("query_id", "document_id", "rank", "hash", "s.dir", "s.stem", "s.suffix", "text")
 
 

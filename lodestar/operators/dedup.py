@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from difflib import SequenceMatcher
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -38,8 +36,63 @@ def near_text(a: str, b: str) -> bool:
         return False
     if indel(a, b) < 100 * TEXT_RATIO:  # matching blocks are a common subsequence, so this bounds the matcher's ratio
         return False
-    m = SequenceMatcher(None, a, b, autojunk=False)
-    return m.ratio() >= TEXT_RATIO
+    return matching(a, b) * 2.0 / (len(a) + len(b)) >= TEXT_RATIO
+
+
+def _longest(a: str, b: str) -> tuple[int, int]:
+    """(start in a, size) of the first longest common substring, by a suffix automaton of b."""
+    steps: list[dict[str, int]] = [{}]
+    link, size, last = [-1], [0], 0
+    for c in b:
+        new = len(steps)
+        steps.append({})
+        size.append(size[last] + 1)
+        link.append(0)
+        p = last
+        while p >= 0 and c not in steps[p]:
+            steps[p][c] = new
+            p = link[p]
+        if p >= 0:
+            q = steps[p][c]
+            if size[q] == size[p] + 1:
+                link[new] = q
+            else:
+                twin = len(steps)
+                steps.append(steps[q].copy())
+                size.append(size[p] + 1)
+                link.append(link[q])
+                while p >= 0 and steps[p].get(c) == q:
+                    steps[p][c] = twin
+                    p = link[p]
+                link[q] = link[new] = twin
+        last = new
+    state = length = best = end = 0
+    for i, c in enumerate(a):
+        while state and c not in steps[state]:
+            state = link[state]
+            length = size[state]
+        if c in steps[state]:
+            state = steps[state][c]
+            length += 1
+        if length > best:
+            best, end = length, i + 1
+    return end - best, best
+
+
+def matching(a: str, b: str) -> int:
+    """The characters in the matching blocks of difflib's SequenceMatcher without junk, in time that long texts allow."""
+    total, todo = 0, [(0, len(a), 0, len(b))]
+    while todo:
+        alo, ahi, blo, bhi = todo.pop()
+        if alo == ahi or blo == bhi:
+            continue
+        start, size = _longest(a[alo:ahi], b[blo:bhi])
+        if size:
+            i = alo + start
+            j = b.index(a[i : i + size], blo, bhi)
+            total += size
+            todo += [(alo, i, blo, j), (i + size, ahi, j + size, bhi)]
+    return total
 
 
 OUT = "query_id long, document_id string, rank int, representative string, reason string, variants array<string>"

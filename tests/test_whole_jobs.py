@@ -1,6 +1,10 @@
 """Catalogue queries on small tables of their own."""
 
+import random
+from difflib import SequenceMatcher
+
 from lodestar import catalogue
+from lodestar.operators import dedup
 
 QUERIES = catalogue.queries()
 
@@ -11,3 +15,21 @@ def test_identities_of_different_balances(spark, tmp_path):
     spark.createDataFrame(rows, "c_custkey long, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string").write.parquet(f"{tmp_path}/customer.parquet")
     got = {(r.id_a, r.id_b): r.score for r in QUERIES["identity_suggestions"](spark, str(tmp_path)).collect()}
     assert got == {(0, 1): 0.55, (0, 2): 0.52, (1, 2): 0.52, (0, 3): 0.62, (3, 4): 0.55}
+
+
+def test_variants_by_whole_texts(spark, tmp_path):
+    part = lambda c, n: " ".join(f"{c}{i}" for i in range(n))
+    common, schema = "needle " + part("w", 600), "doc_id long, text string, lang string, source string, n_chars long"
+    texts = [f"{common} {part('a', 300)}", f"{common} {part('b', 300)}", f"{common} {part('a', 299)}", "other words"]
+    spark.createDataFrame([(10 * i, t, "en", "s", len(t)) for i, t in enumerate(texts)], schema).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, "needle")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = {r.document_id: r.variants for r in QUERIES["arm_dedup"](spark, str(tmp_path)).collect()}
+    assert sorted(got.values()) == [0, 1] and "files:10" in got
+
+
+def test_matching_is_that_of_the_library():
+    rng = random.Random(3)
+    for _ in range(500):
+        a = "".join(rng.choice("abc ") for _ in range(rng.randint(0, 60)))
+        b = "".join(rng.choice("abc ") for _ in range(rng.randint(0, 60))) if rng.random() < 0.5 else a[5:20] + a[:30] + "c" + a[31:]
+        assert dedup.matching(a, b) == sum(m.size for m in SequenceMatcher(None, a, b, autojunk=False).get_matching_blocks())
