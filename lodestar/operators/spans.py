@@ -46,13 +46,20 @@ def longest_first(matches: DataFrame) -> DataFrame:
 
 
 def fuzzy_matches(spans: DataFrame, forms: DataFrame, least: float) -> DataFrame:
-    """Spans and forms of the same number of words and the same first letters, by Indel ratio; lengths bound it from above."""
-    key = lambda c: F.concat(F.size(F.split(c, " ")).cast("string"), F.lit(":"), F.substring(c, 1, 2))
-    a = spans.select("text_id", "pos", "size", "gram", key(F.col("gram")).alias("block"))
-    b = forms.select("entity_id", F.col("normalized").alias("form"), key(F.col("normalized")).alias("block"))
-    n, m = F.length("gram"), F.length("form")
-    near = a.join(b, "block").where((F.col("gram") != F.col("form")) & (200 * F.least(n, m) >= least * (n + m)))
-    return near.withColumn("ratio", F.round(indel_ratio("gram", "form"), 4)).where(F.col("ratio") >= least)
+    """Spans and forms whose numbers of words differ by one at most, by Indel ratio.
+
+    Different spans are compared once. Lengths bound the ratio from above and are the join key; the
+    Levenshtein distance, never above the Indel distance, bounds it before the exact ratio.
+    """
+    count, n, m = F.size(F.split("gram", " ")), F.length("gram"), F.length("form")
+    low, high = F.ceil(m * least / (200 - least) - 1e-9), F.floor(m * (200 - least) / least + 1e-9)
+    a = spans.select("gram").distinct().select("gram", count.alias("words"), n.alias("size"))
+    b = forms.select("entity_id", F.col("normalized").alias("form")).withColumn("base", F.size(F.split("form", " ")))
+    b = b.withColumn("words", F.explode(F.sequence(F.col("base") - 1, F.col("base") + 1))).withColumn("size", F.explode(F.sequence(low.cast("int"), high.cast("int")))).drop("base")
+    close = F.expr(f"levenshtein(gram, form, cast(floor((length(gram) + length(form)) * {(100 - least) / 100!r} + 1e-9) as int)) >= 0")
+    near = a.join(b, ["words", "size"]).where((F.col("gram") != F.col("form")) & close).drop("words", "size")
+    found = near.withColumn("ratio", F.round(indel_ratio("gram", "form"), 4)).where(F.col("ratio") >= least)
+    return spans.select("text_id", "pos", "size", "gram").join(found, "gram")
 
 
 def best_candidates(found: DataFrame) -> DataFrame:

@@ -4,7 +4,7 @@ import random
 from difflib import SequenceMatcher
 
 from lodestar import catalogue
-from lodestar.operators import dedup
+from lodestar.operators import dedup, spans
 
 QUERIES = catalogue.queries()
 
@@ -33,3 +33,11 @@ def test_matching_is_that_of_the_library():
         a = "".join(rng.choice("abc ") for _ in range(rng.randint(0, 60)))
         b = "".join(rng.choice("abc ") for _ in range(rng.randint(0, 60))) if rng.random() < 0.5 else a[5:20] + a[:30] + "c" + a[31:]
         assert dedup.matching(a, b) == sum(m.size for m in SequenceMatcher(None, a, b, autojunk=False).get_matching_blocks())
+
+
+def test_fuzzy_matches_at_the_beginning_and_with_other_word_counts(spark):
+    grams = ["dohn smithson", "john smith son", "johnsmithson", "john smithson", "jane doe"]
+    runs = spark.createDataFrame([(1, i, 2, g) for i, g in enumerate(grams)], "text_id long, pos int, size int, gram string")
+    forms = spark.createDataFrame([("E1", "john smithson")], "entity_id string, normalized string")
+    got = {r.gram: r.ratio for r in spans.fuzzy_matches(runs, forms, 85.0).collect()}
+    assert got == {"dohn smithson": 92.3077, "john smith son": 96.2963, "johnsmithson": 96.0}
