@@ -293,7 +293,7 @@ def test_bpe_matches_the_library(spark, tokenizer):
 
 def test_gadgets_of_equal_parts():
     a = bpe.Automaton({0: b"a", 1: b"b", 2: b"aa", 3: b"aaaa"}, [(0, 0, 2), (2, 2, 3)], {})
-    assert [a.run(b"a" * n) for n in (1, 2, 3, 5, 7)] == [[0], [2], [2, 0], [3, 0], [3, 2, 0]]
+    assert [list(a.run(b"a" * n)) for n in (1, 2, 3, 5, 7)] == [[0], [2], [2, 0], [3, 0], [3, 2, 0]]
 
 
 # op8
