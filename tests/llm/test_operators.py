@@ -198,7 +198,7 @@ def test_components(spark):
 # op5
 
 
-@pytest.mark.parametrize("bits,capacity", [(64, 8000), (3, 8000), (64, 5)])
+@pytest.mark.parametrize("bits,capacity", [(64, 32 << 20), (3, 32 << 20), (64, 100), (2, 300)])
 def test_exact_groups(spark, bits, capacity):
     texts = ODD + ["a b", "ab", "a  b", "A b", "é x", "éx"] + prose(6, 100, 2, 4)
     got = {r.doc_id: r for r in exact_dedup.exact_groups(frame(spark, texts), capacity=capacity, hash_bits=bits).collect()}
@@ -218,10 +218,21 @@ def test_exact_dedup_keeps_one_of_repeated_rows(spark):
 
 
 def test_directory_doubles():
-    d = exact_dedup.Directory({0: 10, 1: 10, 128: 3}, capacity=12, max_depth=8)
-    assert d.depth == 8 and len(d.pointers()) == 256
-    owners = dict(d.pointers())
-    assert owners[0] != owners[1] and owners[128] == owners[255]
+    cell = lambda p, n, one=False: (p << 56, 8, n, one)
+    d = exact_dedup.Directory([cell(0, 10), cell(1, 10), cell(128, 3), cell(255, 50, True)], capacity=12)
+    assert d.depth == 8 and d.starts[0] == 0 and d.ways[-1] == 5 and len(d) == len(d.starts) + 4
+    at = np.array([0, 1 << 56, 128 << 56, 129 << 56, 255 << 56], np.uint64)
+    owner, ways = d.find(at, np.arange(5))
+    assert owner[0] != owner[1] and owner[2] == owner[3] and ways.tolist() == [1, 1, 1, 1, 5]
+    assert len(exact_dedup.Directory([], 12)) == 1
+
+
+def test_index_refines_prefixes(spark):
+    rows = [(i << 44, 2, 100) for i in range(64)] + [(7 << 60, 10**6, 100)]
+    d = exact_dedup.index(spark.createDataFrame(rows, "hash long, n long, bytes long"), 1000, 1000)
+    assert d.depth > 12 and d.ways.max() > 50
+    owner, _ = d.find(np.array([r[0] for r in rows[:64]], np.uint64), np.arange(64))
+    assert len(set(owner.tolist())) >= 16
 
 
 # op6
