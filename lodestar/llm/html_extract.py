@@ -1,7 +1,10 @@
 """Main text of web pages by composite text density.
 
-The page becomes a tree (optional end tags implied as browsers do). Parts that never are content by
-their element or name (menus, adverts, forms, notices, comments, scripts) leave the tree first.
+The page becomes a tree (optional end tags implied as browsers do). Elements that never are content
+(scripts, navigation, controls) leave the tree first. Names and roles (menus, adverts, forms, notices,
+comments) are evidence only: a part that has one leaves if it holds less than half of the page's text
+outside links, or if an article, main element or first heading with text of its own stands elsewhere.
+A page whose one layout class or one form surrounds all of it therefore keeps its text.
 Then every node gets its characters, tags, link characters and link tags, its composite density
 
     C/T * log(C/LC * T/LT) in base ln(C/notLC * LC + LCb/Cb * C + e)
@@ -50,7 +53,7 @@ IMPLIED = {
     "tfoot": ({"tbody", "thead", "tfoot", "tr"}, {"table"}),
     "option": ({"option"}, {"select"}),
 }
-DROPPED = frozenset("head script style noscript template nav footer aside form button select textarea input iframe object embed svg canvas dialog menu audio video map math".split())
+DROPPED = frozenset("head script style noscript template nav footer aside button select textarea input iframe object embed svg canvas dialog menu audio video map math".split())
 NAMES = re.compile(
     r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|sponsor\w*|promo\w*|banner|nav|navbar|navigation|menu\w*|breadcrumbs?|sidebar|side-bar|footer|masthead|site-header|page-header|header|cookies?|consent|gdpr|notices?|newsletter|subscribe|signup|popup|modal|overlay|share|sharing|social|comments?|commentlist|disqus|replies|respond|related|recommended|pagination|pager|widget|toolbar|skip|login)(?:$|[\s_-])",
     re.I,
@@ -58,9 +61,9 @@ NAMES = re.compile(
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar form".split())
 FOREIGN = frozenset("svg path math use circle rect line g".split())
 # Elements that lay out a page; table parts do where they hold such blocks. Others are content or not as a whole.
-CONTAINERS = frozenset("html article center div main section".split())
+CONTAINERS = frozenset("html article center div form main section".split())
 TABLE_PARTS = frozenset("table tbody td tfoot th thead tr".split())
-LAID_OUT = frozenset("article blockquote center div h1 h2 main ol p section table ul".split())
+LAID_OUT = frozenset("article blockquote center div form h1 h2 main ol p section table ul".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 header hgroup".split())
 P_SCOPE = frozenset("table td th button article section div li blockquote main".split())
 A_SCOPE, BLOCK_SCOPE = BLOCK - {"p"}, BLOCK - {"p", "br"}
@@ -86,6 +89,8 @@ RAW = {tag: re.compile(rf"</{tag}(?=[\s/>])", re.I) for tag in ("script", "style
 class _Tree:
     def __init__(self) -> None:
         self.root = self.at = Node("html", None)
+        self.open_nodes: list[Node] = []
+        self.depths: dict[str, list[int]] = {}  # where elements of each name stand among the open ones
 
     def read(self, html: str) -> None:
         at, end = 0, len(html)
@@ -119,13 +124,16 @@ class _Tree:
         self.at.kids.append(unescape(data) if "&" in data else data)
 
     def _close(self, wanted, stop=()) -> bool:
-        node = self.at
-        while node.parent is not None and node.tag not in stop:
-            if node.tag in wanted:
-                self.at = node.parent
-                return True
-            node = node.parent
-        return False
+        """Closes the innermost open element of the wanted ones, unless one of `stop` is open within it."""
+        depths = self.depths
+        deep = lambda tags: max((depths[t][-1] for t in tags if depths.get(t)), default=-1)
+        found = deep(wanted)
+        if found < 0 or found < deep(stop):
+            return False
+        while len(self.open_nodes) > found:
+            depths[self.open_nodes.pop().tag].pop()
+        self.at = self.open_nodes[-1] if self.open_nodes else self.root
+        return True
 
     def open(self, tag: str, rest: str) -> None:
         if tag in ("html", "body"):
@@ -148,10 +156,12 @@ class _Tree:
                 or any(k in found and NAMES.search(found[k]) for k in ("class", "id"))
                 or "display:none" in found.get("style", "").replace(" ", "").lower()
             )
-        node = Node(tag, self.at, named)
+        node = Node(tag, self.at, named or tag == "form")
         self.at.kids.append(node)
         if tag not in VOID and not (rest.endswith("/") and tag in FOREIGN):
             self.at = node
+            self.depths.setdefault(tag, []).append(len(self.open_nodes))
+            self.open_nodes.append(node)
 
     def close(self, tag: str) -> None:
         if tag not in ("html", "body"):
@@ -173,20 +183,37 @@ def _order(root: Node) -> list[Node]:
     return out
 
 
+def _removable(kid: Node, inside: bool) -> bool:
+    return kid.tag in DROPPED or (kid.tag == "header" and not (inside and kid.inner_heading))
+
+
 def prune(root: Node) -> None:
-    """Takes out what never is content. A header stays where it heads an article."""
+    """Takes out what never is content, then named parts that don't hold the page. A header stays where it heads an article."""
     for node in reversed(_order(root)):
         node.inner_heading = node.tag in ("h1", "h2") or any(isinstance(k, Node) and k.inner_heading for k in node.kids)
     todo = [(root, False)]
     while todo:
         node, inside = todo.pop()
         inside = inside or node.tag in ("article", "main")
+        node.kids = [k for k in node.kids if isinstance(k, str) or not _removable(k, inside)]
+        todo += [(k, inside) for k in node.kids if isinstance(k, Node)]
+    order = _order(root)
+    plain: dict[Node, int] = {}  # characters outside links
+    heart: dict[Node, int] = {}  # those of them in articles, main elements and the sections of top headings
+    for node in reversed(order):
+        kids = [k for k in node.kids if isinstance(k, Node)]
+        plain[node] = 0 if node.tag == "a" else sum(len("".join(k.split())) for k in node.kids if isinstance(k, str)) + sum(plain[k] for k in kids)
+        heart[node] = plain[node] if node.tag in ("article", "main") or any(k.tag == "h1" for k in kids) and node is not root else sum(heart[k] for k in kids)
+    total, hearts = plain[root], heart[root]
+    todo = [root]
+    while todo:
+        node = todo.pop()
         kept = []
         for kid in node.kids:
             if isinstance(kid, Node):
-                if kid.tag in DROPPED or (kid.named and kid.tag not in ("article", "main", "h1")) or (kid.tag == "header" and not (inside and kid.inner_heading)):
+                if kid.named and kid.tag not in ("article", "main", "h1") and (2 * plain[kid] < total or (4 * heart[kid] < plain[kid] and 4 * (hearts - heart[kid]) > total)):
                     continue
-                todo.append((kid, inside))
+                todo.append(kid)
             kept.append(kid)
         node.kids = kept
 

@@ -58,6 +58,63 @@ def test_whole_articles(tag, link, parts):
     assert html_extract.main_text(page) == "\n".join(html_extract.blocks(html_extract.parse(inner)))
 
 
+@pytest.mark.parametrize("wrap", ['div class="page with-sidebar"', 'div class="content no-sidebar"', 'div class="single-post comments-open"', 'div class="layout has-header"', 'div class="card widget"', 'div id="social"', "form", 'div role="form"', 'div class="a"'])
+@pytest.mark.parametrize("shell", ["{}", '<div class="sidebar"><p>Some words beside it.</p></div>{}<div id="comments"><p>I think so too.</p></div>'])
+def test_layout_names_keep_the_article(wrap, shell):
+    article = f"<h1>Title</h1><p>{PLAIN}</p><p>{LINKED[3:-4]} {PLAIN}</p><p>{PLAIN}</p>"
+    got = html_extract.main_text(f"<body><nav><a href='/'>Home</a></nav><{wrap}>{shell.format(article)}</{wrap.split()[0]}><footer>foot</footer></body>")
+    assert got == "\n".join(html_extract.blocks(html_extract.parse(article)))
+
+
+def test_long_comments_go_where_an_article_stands():
+    page = f'<body><article><h1>Title</h1><p>{PLAIN}</p><p>{PLAIN}</p></article><div id="comments">{f"<p>{PLAIN}</p>" * 3}</div></body>'
+    assert html_extract.main_text(page) == "\n".join(["Title", PLAIN.strip(), PLAIN.strip()])
+
+
+def densities(node, root):
+    """(characters, tags, link characters, link tags) and the density, straight from the formula."""
+
+    def count(n, linked=False):
+        linked = linked or n.tag == "a"
+        c = lc = t = lt = 0
+        for k in n.kids:
+            if isinstance(k, str):
+                size = len("".join(k.split()))
+                c, lc = c + size, lc + size * linked
+            else:
+                a, b, d, e = count(k, linked)
+                c, t, lc, lt = c + a, t + b + (k.tag != "br"), lc + d, lt + e + (k.tag == "a")
+        return c, t, lc, lt
+
+    (c, t, lc, lt), (cb, _, lcb, _) = count(node), count(root)
+    if not c:
+        return 0.0
+    t, share = max(1, t), lcb / max(1, cb)
+    ratio, base = c / max(1, lc) * t / max(1, lt), np.log(c / max(1, c - lc) * lc + share * c + np.e)
+    return c / t * (np.log(ratio) / np.log(base) if base > 1 and ratio > 1 else 1e-3)
+
+
+@pytest.mark.parametrize("parts", [SECTIONS, ITEMS + LINKED * 3, ROWS + LINKED, f"<div>{LINKED}<div>{SECTIONS}</div></div>"])
+def test_densities_are_those_of_the_formula(parts):
+    root = html_extract.parse(f"<body><div><a href='/'>Home</a></div>{parts}</body>")
+    order = html_extract.score(root)
+    for node in order:
+        assert node.density == pytest.approx(densities(node, root))
+        assert node.total == pytest.approx(sum(k.density for k in node.kids if not isinstance(k, str)))
+
+
+def test_end_tags_take_constant_time():
+    import time
+
+    def took(n):
+        began = time.process_time()
+        html_extract.parse("<p><b>" + "<div><i>" * n + "</p></b></em>" * n + "</div>" * n)
+        return time.process_time() - began
+
+    took(1000)
+    assert took(16_000) < 12 * took(4_000) + 0.2
+
+
 @pytest.mark.parametrize("html", [None, "", " ", "<", "<p", "<!-- never closed", "<script>", "</p></p>", "<a href='"])
 def test_broken_pages_have_no_text_or_plain_text(html):
     assert html_extract.main_text(html) in ("", "<", "<p", "<a href='")
