@@ -459,7 +459,7 @@ def test_revealing_terms_stand_anywhere_in_the_text(spark):
 # op10
 
 
-@pytest.mark.parametrize("kind", [media.NONE, media.SUB, media.UP])
+@pytest.mark.parametrize("kind", [None, *range(5)])
 def test_png_round_trip(kind):
     for size in (0, 1, 64, 65, 100_000):
         payload = media.pad_payload(bytes(random.Random(size).randbytes(size)))
@@ -477,7 +477,21 @@ def test_all_filters_are_undone():
             corner = int(rows[y - 1, x - 1]) if x and y else 0
             near = min((left, up, corner), key=lambda v, b=left + up - corner: abs(b - v))
             lines[y, x] = (int(rows[y, x]) - (0, left, up, (left + up) // 2, near)[kinds[y]]) & 255
-    assert (media.unfilter(kinds, lines) == rows).all()
+    image = np.column_stack([kinds.astype(np.uint8), lines])
+    other = np.column_stack([np.full(3, media.UP, np.uint8), np.ones((3, 64), np.uint8)])
+    for images in ([image], [other, image, image[:1], other] * 9):
+        for lines, got in zip(images, media.unfilter_all(images), strict=True):
+            want = np.cumsum(np.ones((3, 64), np.uint8), axis=0) if lines is other else rows[: len(lines)]
+            assert (got == want).all()
+    assert media.unfilter_all([]) == []
+    with pytest.raises(media.MediaError):
+        media.unfilter_all([np.full((1, 65), 5, np.uint8)])
+
+
+def test_rows_take_different_filters():
+    text = ("The quick brown fox jumps. " * 40 + "".join(chr(32 + i % 90) for i in range(4000))).encode()
+    kinds = set(media.read_png(media.encode_png(media.pad_payload(text + bytes(range(256)) * 8)))[:, 0].tolist())
+    assert len(kinds) > 2
 
 
 def test_damage_is_found():
