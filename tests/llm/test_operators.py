@@ -6,6 +6,7 @@ import random
 import re
 import struct
 import zlib
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -137,10 +138,27 @@ def test_pages_table(spark):
 # op2
 
 
-def test_targets_stop_at_the_cap():
-    got = [float(t) for t in source_mix.targets([100, 100, 1000], [3, 1, 2])]
-    assert got[0] == 200 and sum(got) == pytest.approx(1800) and got[2] == pytest.approx(2 * got[1]) or got[1] == 200
-    assert source_mix.targets([0, 0], [3, 1]) == [0, 0]
+def fair_targets(sizes, weights, share=Fraction(3, 2), cap=2):
+    left, out, open_ = share * sum(sizes), [Fraction(0)] * len(sizes), list(range(len(sizes)))
+    while open_:
+        rate = left / sum(weights[i] for i in open_)
+        full = [i for i in open_ if rate * weights[i] > cap * sizes[i]]
+        for i in full:
+            out[i] = Fraction(cap * sizes[i])
+            left -= out[i]
+        if not full:
+            for i in open_:
+                out[i] = rate * weights[i]
+            break
+        open_ = [i for i in open_ if i not in full]
+    return [float(t) for t in out]
+
+
+@pytest.mark.parametrize("sizes", [[100, 100, 1000], [0, 0], [5], [1, 1, 1, 10**6, 3, 40, 0, 10**13], []])
+def test_targets_stop_at_the_cap(spark, sizes):
+    weights = [3, 1, 2, 3, 1, 2, 3, 1][: len(sizes)]
+    got = source_mix.with_targets(spark.createDataFrame(list(zip(range(len(sizes)), sizes, weights, strict=True)), "source_no int, source_size long, weight int"))
+    assert [r.target for r in got.orderBy("source_no").collect()] == fair_targets(sizes, weights)
 
 
 @given(st.integers(1, 400), st.integers(0, 5))
@@ -149,24 +167,59 @@ def test_permutation(n, key):
     assert sorted(source_mix.permuted(np.arange(n), n, key).tolist()) == list(range(n))
 
 
-def test_shards_meet_their_quotas():
-    counts = source_mix.draw_shards([100, 7, 0], 8, 1)
-    assert counts.sum(0).tolist() == [100, 7, 0] and (counts >= 0).all() and len(set(counts[:, 0].tolist())) > 1
-
-
-def test_mix(spark):
-    docs = frame(spark, ODD + prose(1, 400, 200), lambda i: None if i % 5 == 0 else f"s{min(i % 4, 2)}")
-    rows = source_mix.mix_report(docs, block_words=16).collect()
-    assert len(rows) == docs.count() and sorted(rows) == sorted(source_mix.mix_report(docs, block_words=16).collect())
-    taken, target = collections.Counter(), {}
+@given(st.integers(1, 400), st.integers(0, 5))
+@settings(deadline=None, max_examples=50)
+def test_inverse_permutation(n, key):
+    at = np.arange(n)
+    assert (source_mix.permuted(source_mix.permuted(at, n, key), n, key, inverse=True) == at).all()
+
+
+@given(st.integers(0, 300), st.integers(0, 150), st.integers(1, 40))
+@settings(deadline=None, max_examples=300)
+def test_quotas_meet_their_words(words, size, block_words):
+    words = min(words, 2 * size)
+    slots, part = source_mix.quota(words, size, block_words, 3)
+    blocks, taken = -(-size // block_words), 0
+    for j in range(slots):
+        block = int(source_mix.permuted(np.array([j % blocks]), blocks, source_mix._key(3, j // blocks))[0])
+        held = min(size, (block + 1) * block_words) - block * block_words
+        if j == slots - 1 and part is not None:
+            assert 0 < part < held
+            held = part
+        taken += held
+    assert taken == words
+
+
+@pytest.mark.parametrize("slots,shards", [(100, 8), (7, 100), (0, 3)])
+def test_shards_meet_their_quotas(slots, shards):
+    at, counts = source_mix.draw_shards(slots, shards, 1)
+    assert counts.sum() == slots and (counts > 0).all() and len(set(at.tolist())) == len(at) and all(0 <= x < shards for x in at)
+
+
+@pytest.mark.parametrize("options", [{}, {"block_words": 16, "shard_slots": 20}])
+def test_mix(spark, options):
+    docs = frame(spark, ODD + prose(1, 400, 200), lambda i: None if i % 5 == 0 else f"s{i}" if i % 90 == 1 else f"s{min(i % 4, 2)}")
+    docs = docs.unionByName(docs.where("doc_id % 50 = 9")).unionByName(docs.where("doc_id = 8").withColumn("doc_id", F.lit(None).cast("long")))
+    rows = source_mix.mix_report(docs, **options).collect()
+    assert len(rows) == docs.count() and sorted(map(str, rows)) == sorted(map(str, source_mix.mix_report(docs.repartition(5), **options).collect()))
+    sizes = {r.source: r.n for r in docs.groupBy("source").agg(F.coalesce(F.sum(F.regexp_count("text", F.lit("[^\\x20\\x09-\\x0D]+"))), F.lit(0)).alias("n")).collect()}
+    names = sorted(sizes, key=lambda s: (s is None, s or ""))
+    goal = dict(zip(names, fair_targets([sizes[n] for n in names], [(3, 1, 2)[i % 3] for i in range(len(names))]), strict=True))
+    source_of = {r.doc_id: r.source for r in docs.collect()}
+    taken = collections.Counter()
     for r in rows:
         assert 0 <= r.taken <= 2 * r["size"]
-        taken[r.source_size] += r.taken
-        target[r.source_size] = r.target
-    assert all(abs(taken[k] - target[k]) <= max(32, 0.02 * target[k]) for k in target)
-    made = source_mix.mixed_documents(docs, block_words=16).groupBy("doc_id").agg(F.sum(F.regexp_count("text", F.lit("[^\\x20\\x09-\\x0D]+"))).alias("n"))
-    assert {r.doc_id: r.n for r in made.collect()} == {r.doc_id: r.taken for r in rows if r.taken}
-    assert source_mix.mix_report(docs.limit(0)).count() == 0
+        source = source_of[r.doc_id]
+        taken[source] += r.taken
+        assert (r.source_size, r.target) == (sizes[source], goal[source])
+    assert all(abs(taken[n] - goal[n]) <= 1 for n in names)
+    made = source_mix.mixed_documents(docs, **options).groupBy("doc_id").agg(F.sum(F.regexp_count("text", F.lit("[^\\x20\\x09-\\x0D]+"))).alias("n"))
+    total = collections.Counter()
+    for r in rows:
+        total[r.doc_id] += r.taken
+    assert {r.doc_id: r.n for r in made.collect()} == {d: n for d, n in total.items() if n}
+    assert source_mix.mix_report(docs.limit(0), **options).count() == 0
+    assert source_mix.mix_report(docs.where("trim(text) = ''"), **options).where("target <> 0 or taken <> 0").count() == 0
 
 
 # op3
