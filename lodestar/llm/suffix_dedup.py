@@ -5,17 +5,17 @@ smaller doc_id, or earlier in the same document). Not every suffix is sorted: of
 window, the K-byte string with the smallest hash is its anchor, so equal windows have equal anchors
 at equal offsets, and all windows around an anchor are decided at the anchor.
 
-1. Each task finds its anchors with rolling prefix hashes and hashes each anchor's surroundings, all
-   bytes that windows with this anchor can reach. Anchors with equal surroundings within a batch are
-   decided on the spot: only the first goes on.
-2. Owner tasks take ranges of anchor hashes. Anchors alone in the corpus are done; of those with
-   equal surroundings all but the first are covered as a whole. Anchors that differ further out
-   send for their bytes.
-3. Their suffixes are sorted by a mergesort whose comparisons find the common extension by binary
-   search over prefix polynomial hashes, once to the right and once to the left (reversed). The
-   sorted neighbours' common extensions are then taken from the bytes themselves; where the order
-   contradicts them (a hash collision), the suffixes are sorted anew by their bytes. Windows are equal
-   where both extensions reach, and of equal windows the first stays.
+1. Each task finds its anchors with rolling prefix hashes. Owner tasks take ranges of anchor hashes
+   and find those that occur twice; a bitmap of bounded size tells the next pass which they may be.
+2. Each task finds its anchors again. Those with equal surroundings (all bytes that windows with this
+   anchor can reach) within a batch are compared byte by byte; all but the first are covered as a whole.
+   First ones whose hash occurs elsewhere send their surroundings to the owner of the hash.
+3. The owner compares equal surroundings byte by byte in the same way. Anchors that differ further out
+   go into the suffix sort: a mergesort whose comparisons find the common extension by binary search
+   over prefix polynomial hashes, once to the right and once to the left (reversed). The sorted
+   neighbours' common extensions are then taken from the bytes themselves; where the order contradicts
+   them (a hash collision), the suffixes are sorted anew by their bytes. Windows are equal where both
+   extensions reach, and of equal windows the first stays. No byte goes by a hash alone.
 4. Covered stretches go back to their documents.
 
 Cases: null counts as empty; texts shorter than LENGTH lose nothing; very long texts are read in
@@ -31,6 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -42,6 +43,10 @@ REACH = LENGTH - K  # how far left of its anchor a window can start
 SEGMENT = 1 << 20
 PART_BYTES = 16 << 20
 SORTED_AT_ONCE = 20_000
+COMPARED_AT_ONCE = 50_000
+PIECE = 32 << 20
+BITMAP_PARTS = 64
+LEAST_BITS, MOST_BITS = 22, 27  # the bitmap has 16 MB at most; when it is full, all anchors send their surroundings
 LAST = (1 << 63) - 1
 _BASE = 0x9E3779B97F4A7C15
 _BYTE = splitmix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))
@@ -152,121 +157,156 @@ def _stretches(new: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(edges[:-1], edges[1:], strict=True))
 
 
-# kind 0: anchors of a part, packed by column; kind 1: positions of a document that are covered as a whole
-ANCHORS = "part int, row long, hash binary, around binary, doc binary, rows binary, pos binary"
+def batch_anchors(batch: pa.RecordBatch, around_bits: int = 64) -> tuple[list[bytes], dict[str, np.ndarray]]:
+    """The batch's texts and its anchors, those with equal hash and hash of surroundings together, in corpus order."""
+    ids = np.array([LAST if i is None else i for i in batch.column("doc_id").to_pylist()], np.int64)
+    texts = binary_column(batch.column("text"))
+    number, pos, hashes, around = text_anchors(texts)
+    around = around & np.uint64((1 << around_bits) - 1)
+    row = np.asarray(batch.column(ROW))[number]
+    order = np.lexsort((pos, row, ids[number], around, hashes))
+    found = {"number": number, "pos": pos, "hash": hashes, "around": around, "doc": ids[number], "row": row}
+    return texts, {k: v[order] for k, v in found.items()}
 
 
-def _map_anchors(parts: int):
+def _by_part(hashes: np.ndarray, parts: int) -> Iterator[tuple[int, np.ndarray]]:
+    part = (hashes % np.uint64(parts)).astype(np.int64)
+    order = np.argsort(part, kind="stable")
+    for a, b in _stretches(_runs(part[order])):
+        yield int(part[order[a]]), order[a:b]
+
+
+def _map_hashes(parts: int, around_bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids = np.array([LAST if i is None else i for i in batch.column("doc_id").to_pylist()], np.int64)
-            rows = np.asarray(batch.column(ROW))
-            number, pos, hashes, around = text_anchors(binary_column(batch.column("text")))
-            doc, row = ids[number], rows[number]
-            order = np.lexsort((pos, row, doc, around, hashes))
-            number, pos, hashes, around, doc, row = (x[order] for x in (number, pos, hashes, around, doc, row))
-            new = _runs(hashes, around)
-            yield _anchor_batch([], *_by_row(row[~new], pos[~new]))
-            first = np.flatnonzero(new)
-            part = (hashes[first] % np.uint64(parts)).astype(np.int64)
-            order = np.lexsort((pos[first], row[first], part))
-            part, first = part[order], first[order]
-            packed = []
-            for start, stop in _stretches(_runs(part)):
-                own = first[start:stop]
-                packed.append((int(part[start]), *(x[own].tobytes() for x in (hashes, around, doc, row)), pos[own].astype(np.int32).tobytes()))
-            yield _anchor_batch(packed, [], [])
+        for batch in pieces(batches, "text", PIECE):
+            _, found = batch_anchors(batch, around_bits)
+            hashes, times = np.unique(found["hash"][_runs(found["hash"], found["around"])], return_counts=True)
+            hashes = np.repeat(hashes, np.minimum(times, 2))
+            rows = [(part, hashes[own].tobytes()) for part, own in _by_part(hashes, parts)]
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], names=["part", "bits"])
 
     return run
 
 
-def _by_row(row: np.ndarray, pos: np.ndarray) -> tuple[list[int], list[bytes]]:
-    order = np.lexsort((pos, row))
-    row, pos = row[order], pos[order].astype(np.int32)
-    runs = _stretches(_runs(row))
-    return [int(row[a]) for a, _ in runs], [pos[a:b].tobytes() for a, b in runs]
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
+    """The rows of each part; they come sorted by part."""
+    at, held = None, []
+    for batch in batches:
+        for part, *rest in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if part != at and held:
+                yield held
+                held = []
+            at = part
+            held.append(tuple(rest))
+    if held:
+        yield held
 
 
-def _anchor_batch(packed: list[tuple], rows: list[int], positions: list[bytes]) -> pa.RecordBatch:
-    blank = [None] * len(rows)
-    columns = [[x[i] for x in packed] for i in range(6)] if packed else [[]] * 6
-    values = [columns[0] + [-1 - r % 1024 for r in rows], [None] * len(packed) + rows, *(c + blank for c in columns[1:5]), columns[5] + positions]
-    kinds = [pa.int32(), pa.int64(), *[pa.binary()] * 5]
-    return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(values, kinds, strict=True)], names=[f.split()[0] for f in ANCHORS.split(", ")])
+def _own_hashes(bits: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.zeros(1 << bits, bool)
+        for held in _parts(batches):
+            hashes = np.sort(np.concatenate([np.frombuffer(h, np.uint64) for (h,) in held]))
+            seen[_slots(hashes[1:][hashes[1:] == hashes[:-1]], bits)] = True
+        packed = np.packbits(seen).reshape(BITMAP_PARTS, -1)
+        some = np.flatnonzero(packed.any(1))
+        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([packed[i].tobytes() for i in some], pa.binary())], names=["part", "bits"])
 
+    return run
 
-# whole: positions of anchors covered with their surroundings; hash and wanted: anchors that send for their bytes
-MARKS = "row long, whole binary, hash binary, wanted binary"
 
+def _united(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    parts: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for part, bits in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            own = np.frombuffer(bits, np.uint8)
+            parts[part] = parts[part] | own if part in parts else own
+    yield pa.RecordBatch.from_arrays([pa.array(parts.keys(), pa.int32()), pa.array([x.tobytes() for x in parts.values()], pa.binary())], names=["part", "bits"])
 
-def _mark_batch(whole: tuple[list[int], list[bytes]], wanted: list[tuple[int, bytes, bytes]]) -> pa.RecordBatch:
-    none, blank = [None] * len(wanted), [None] * len(whole[0])
-    values = [whole[0] + [w[0] for w in wanted], whole[1] + none, blank + [w[1] for w in wanted], blank + [w[2] for w in wanted]]
-    kinds = [pa.int64(), *[pa.binary()] * 3]
-    return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(values, kinds, strict=True)], names=[f.split()[0] for f in MARKS.split(", ")])
 
+def _slots(hashes: np.ndarray, bits: int) -> np.ndarray:
+    return (hashes >> np.uint64(64 - bits)).astype(np.int64)
 
-def _decide(held: list[tuple]) -> pa.RecordBatch:
-    hashes, around = (np.concatenate([np.frombuffer(x[i], np.uint64) for x in held]) for i in (0, 1))
-    doc, row = (np.concatenate([np.frombuffer(x[i], np.int64) for x in held]) for i in (2, 3))
-    pos = np.concatenate([np.frombuffer(x[4], np.int32) for x in held])
-    order = np.lexsort((pos, row, doc, around, hashes))
-    hashes, around, row, pos = (x[order] for x in (hashes, around, row, pos))
-    new_hash, new = _runs(hashes), _runs(hashes, around)
-    kinds_of_hash = np.add.reduceat(new.astype(np.int64), np.flatnonzero(new_hash)) if len(new) else np.empty(0, np.int64)
-    many = kinds_of_hash[np.cumsum(new_hash) - 1] > 1 if len(new) else new
-    asked = np.flatnonzero(new & many)
-    asked = asked[np.argsort(row[asked], kind="stable")]
-    wanted = [(int(row[asked[a]]), hashes[asked[a:b]].tobytes(), pos[asked[a:b]].astype(np.int32).tobytes()) for a, b in _stretches(_runs(row[asked]))]
-    return _mark_batch(_by_row(row[~new], pos[~new]), wanted)
 
+def shared_slots(rows: DataFrame, parts: int, bits: int, around_bits: int = 64) -> np.ndarray:
+    """The bitmap of 2**bits slots that anchors which occur twice fall into, packed."""
+    schema, out = "part int, bits binary", np.zeros((BITMAP_PARTS, (1 << bits) // 8 // BITMAP_PARTS), np.uint8)
+    owned = rows.mapInArrow(_map_hashes(parts, around_bits), schema).repartition("part").sortWithinPartitions("part").mapInArrow(_own_hashes(bits), schema)
+    for r in owned.repartition("part").mapInArrow(_united, schema).collect():  # BITMAP_PARTS rows, 2**bits bits together
+        out[r["part"]] = np.frombuffer(bytes(r["bits"]), np.uint8)
+    return out.ravel()
 
-def _own_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows come sorted by part; one part is in memory at a time."""
-    at, held = None, []
-    for batch in batches:
-        for part, row, *packed in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if part < 0:
-                yield _mark_batch(([row], [packed[4]]), [])
-                continue
-            if part != at and held:
-                yield _decide(held)
-                held = []
-            at = part
-            held.append(packed)
-    if held:
-        yield _decide(held)
+
+def surroundings(texts: list[bytes], number: np.ndarray, pos: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes around each anchor, zero beyond the text; how many of them lie left and right of its start)."""
+    sizes = np.array([len(t) for t in texts], np.int64)
+    starts = np.cumsum(sizes) - sizes + REACH
+    data = np.frombuffer(bytes(REACH) + b"".join(texts) + bytes(LENGTH), np.uint8)
+    view = np.lib.stride_tricks.sliding_window_view(data, _CONTEXT)[starts[number] + pos - REACH]
+    reach = np.column_stack([np.minimum(pos, REACH), np.minimum(sizes[number] - pos, LENGTH)]).astype(np.uint8)
+    at = np.arange(_CONTEXT)
+    return np.where((at >= REACH - reach[:, :1]) & (at < REACH + reach[:, 1:].astype(np.int64)), view, 0), reach
 
 
-CONTEXTS = "part int, hash binary, doc binary, rows binary, pos binary, reach binary, bytes binary"
+def again(hashes: np.ndarray, around: np.ndarray, context) -> np.ndarray:
+    """Whether the surroundings of each anchor are, byte by byte, those of the one before it. context(i) gives bytes and reach."""
+    same = ~_runs(hashes, around)
+    asked = np.flatnonzero(same)
+    for start in range(0, len(asked), COMPARED_AT_ONCE):
+        own = asked[start : start + COMPARED_AT_ONCE]
+        (a, left), (b, right) = context(own - 1), context(own)
+        same[own] = (a == b).all(1) & (left == right).all(1)
+    return same
+
+
+def _by_row(row: np.ndarray, pos: np.ndarray) -> tuple[list[int], list[bytes]]:
+    order = np.lexsort((pos, row))
+    row, pos = row[order], pos[order].astype(np.int32)
+    runs = _stretches(_runs(row))
+    return [int(row[a]) for a, _ in runs], [pos[a:b].tobytes() for a, b in runs]
+
+
+# part < 0: positions of a document whose surroundings are covered as a whole; else the packed surroundings of a part
+CONTEXTS = "part int, row long, hash binary, around binary, doc binary, rows binary, pos binary, reach binary, bytes binary"
+MARKS = "row long, whole binary, spans binary"
 _CONTEXT = REACH + LENGTH
 
 
-def _map_contexts(parts: int):
+def _map_contexts(parts: int, shared, bits: int, around_bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            cut: list[tuple] = []
-            for doc, row, text, hashes, wanted in zip(batch.column("doc_id").to_pylist(), batch.column(ROW).to_pylist(), binary_column(batch.column("text")), batch.column("hash").to_pylist(), batch.column("wanted").to_pylist(), strict=True):
-                pos = np.frombuffer(b"".join(wanted or ()), np.int32).astype(np.int64)
-                if not len(pos):
-                    continue
-                key = np.frombuffer(b"".join(hashes), np.uint64)
-                data = np.frombuffer(bytes(REACH) + text + bytes(LENGTH), np.uint8)
-                view = np.lib.stride_tricks.sliding_window_view(data, _CONTEXT)[pos]
-                left, right = np.minimum(pos, REACH), np.minimum(len(text) - pos, LENGTH)
-                cut.append((key, np.full(len(pos), LAST if doc is None else doc), np.full(len(pos), row), pos, np.column_stack([left, right]).astype(np.uint8), view))
-            if not cut:
-                continue
-            columns = [np.concatenate(x) for x in zip(*cut, strict=True)]
-            part = (columns[0] % np.uint64(parts)).astype(np.int64)
-            order = np.argsort(part, kind="stable")
-            rows = [(int(part[order[a]]), *(c[order[a:b]].tobytes() for c in columns)) for a, b in _stretches(_runs(part[order]))]
-            kinds = [pa.int32(), *[pa.binary()] * 6]
-            yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=[f.split()[0] for f in CONTEXTS.split(", ")])
+        slots, pack = shared.value, zstandard.ZstdCompressor(level=1).compress
+        for batch in pieces(batches, "text", PIECE):
+            texts, found = batch_anchors(batch, around_bits)
+            same = again(found["hash"], found["around"], lambda i, t=texts, f=found: surroundings(t, f["number"][i], f["pos"][i]))
+            rows = [(-1 - row % 1024, row, None, None, None, None, pos, None, None) for row, pos in zip(*_by_row(found["row"][same], found["pos"][same]), strict=True)]
+            slot = _slots(found["hash"], bits)
+            shared_here = np.zeros(len(same), bool)  # first ones of a hash that has several in this batch
+            first = np.flatnonzero(~same)
+            new = _runs(found["hash"][first])
+            shared_here[first] = ~(new & np.append(new[1:], True)) if len(new) else new
+            asked = np.flatnonzero(~same & (shared_here | ((slots[slot >> 3] >> (7 - (slot & 7)).astype(np.uint8) & 1) == 1)))
+            for part, own in _by_part(found["hash"][asked], parts):
+                own = asked[own]
+                view, reach = surroundings(texts, found["number"][own], found["pos"][own])
+                rows.append((part, None, *(found[k][own].tobytes() for k in ("hash", "around", "doc", "row", "pos")), reach.tobytes(), pack(view.tobytes())))
+                if sum(len(r[8] or b"") for r in rows[-64:]) > PIECE:
+                    yield _context_batch(rows)
+                    rows = []
+            yield _context_batch(rows)
 
     return run
 
 
+def _context_batch(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = [pa.int32(), pa.int64(), *[pa.binary()] * 7]
+    columns = list(zip(*rows, strict=True)) or [()] * len(kinds)
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=[f.split()[0] for f in CONTEXTS.split(", ")])
+
+
+def _mark_batch(rows: list[int], whole: list[bytes | None], spans: list[bytes | None]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(whole, pa.binary()), pa.array(spans, pa.binary())], names=[f.split()[0] for f in MARKS.split(", ")])
+
+
 class Suffixes:
     """Strings of bounded length with prefix polynomial hashes."""
 
@@ -361,11 +401,20 @@ def covered(left: np.ndarray, left_sizes: np.ndarray, right: np.ndarray, right_s
 
 
 def _settle(held: list[tuple]) -> Iterator[pa.RecordBatch]:
-    hashes = np.concatenate([np.frombuffer(x[0], np.uint64) for x in held])
-    doc, row, pos = (np.concatenate([np.frombuffer(x[i], np.int64) for x in held]) for i in (1, 2, 3))
-    reach = np.concatenate([np.frombuffer(x[4], np.uint8).reshape(-1, 2) for x in held]).astype(np.int64)
-    data = np.concatenate([np.frombuffer(x[5], np.uint8).reshape(-1, _CONTEXT) for x in held])
-    order = np.lexsort((pos, row, doc, hashes))
+    """The decisions about one part."""
+    unpack = zstandard.ZstdDecompressor().decompress
+    hashes, around = (np.concatenate([np.frombuffer(x[i], np.uint64) for x in held]) for i in (0, 1))
+    doc, row, pos = (np.concatenate([np.frombuffer(x[i], np.int64) for x in held]) for i in (2, 3, 4))
+    reach = np.concatenate([np.frombuffer(x[5], np.uint8).reshape(-1, 2) for x in held])
+    data = np.concatenate([np.frombuffer(unpack(x[6]), np.uint8).reshape(-1, _CONTEXT) for x in held])
+    order = np.lexsort((pos, row, doc, around, hashes))
+    same = again(hashes[order], around[order], lambda i: (data[order[i]], reach[order[i]]))
+    rows, packed = _by_row(row[order[same]], pos[order[same]])
+    yield _mark_batch(rows, packed, [None] * len(rows))
+    order = order[~same]
+    new = _runs(hashes[order])
+    order = order[~(new & np.append(new[1:], True))]  # the rest of their hash
+    reach = reach.astype(np.int64)
     edges = np.append(np.flatnonzero(_runs(hashes[order])), len(order))
     start = 0
     while start < len(edges) - 1:  # whole groups of one hash, about SORTED_AT_ONCE strings together
@@ -373,31 +422,33 @@ def _settle(held: list[tuple]) -> Iterator[pa.RecordBatch]:
         own = order[edges[start] : edges[stop]]
         own = own[np.lexsort((pos[own], row[own], doc[own]))]
         hit = covered(data[own, REACH - 1 :: -1] if REACH else data[own, :0], reach[own, 0], data[own, REACH:], reach[own, 1])
-        padded = np.pad(hit, ((0, 0), (1, 1))).astype(np.int8)
-        change = np.diff(padded, axis=1)
+        change = np.diff(np.pad(hit, ((0, 0), (1, 1))).astype(np.int8), axis=1)
         who, low = np.nonzero(change == 1)
         _, high = np.nonzero(change == -1)
         owner = own[who]
         spans = np.column_stack([pos[owner] - (high - 1), pos[owner] - low + LENGTH]).astype(np.int32)
         by = np.argsort(row[owner], kind="stable")
         runs = _stretches(_runs(row[owner][by]))
-        rows = [int(row[owner][by[a]]) for a, _ in runs]
-        packed = [spans[by[a:b]].tobytes() for a, b in runs]
-        yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(packed, pa.binary())], names=["row", "spans"])
+        yield _mark_batch([int(row[owner][by[a]]) for a, _ in runs], [None] * len(runs), [spans[by[a:b]].tobytes() for a, b in runs])
         start = stop
 
 
 def _own_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    at, held = None, []
-    for batch in batches:
-        for part, *packed in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if part != at and held:
-                yield from _settle(held)
-                held = []
-            at = part
-            held.append(packed)
-    if held:
+    """Rows come sorted by part; one part is in memory at a time."""
+
+    def packed() -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            marks = pa.compute.less(batch.column("part"), 0)
+            some = batch.filter(marks)
+            done.append(_mark_batch(some.column("row").to_pylist(), some.column("pos").to_pylist(), [None] * some.num_rows))
+            yield batch.filter(pa.compute.invert(marks)).drop_columns(["row"])
+
+    done: list[pa.RecordBatch] = []
+    for held in _parts(packed()):
+        yield from done
+        done.clear()
         yield from _settle(held)
+    yield from done
 
 
 def removed_spans(size: int, whole: np.ndarray, spans: np.ndarray) -> np.ndarray:
@@ -432,21 +483,22 @@ def _cut_out(keep_bytes: bool):
     return run
 
 
-def remove_repeats(docs: DataFrame, keep_bytes: bool = True) -> DataFrame:
-    """One row per document: sizes, the removed stretches (pairs of 64-bit numbers) and the bytes that stay (null unless keep_bytes)."""
+def remove_repeats(docs: DataFrame, keep_bytes: bool = True, around_bits: int = 64) -> DataFrame:
+    """One row per document: sizes, the removed stretches (pairs of 64-bit numbers) and the bytes that stay (null unless keep_bytes).
+
+    around_bits below 64 provokes collisions of surroundings, for tests.
+    """
     spark = docs.sparkSession
     staged = Staged(spark)
     rows = source_rows(staged, docs, "doc_id", "text").select(ROW, F.col("doc_id").cast("long"), F.col("text").cast("string"))
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(1, -(-total // PART_BYTES))
-    marks = staged.put(rows.mapInArrow(_map_anchors(parts), ANCHORS).repartition("part").sortWithinPartitions("part").mapInArrow(_own_anchors, MARKS))
+    bits = min(MOST_BITS, max(LEAST_BITS, int(total).bit_length() - 3))
+    shared = spark.sparkContext.broadcast(shared_slots(rows, parts, bits, around_bits))
     _release(spark)
-    wanted = marks.where("wanted is not null").groupBy(F.col("row").alias(ROW)).agg(F.collect_list(F.struct("hash", "wanted")).alias("asked"))
-    asked = rows.join(wanted, ROW).select(ROW, "doc_id", "text", F.col("asked.hash").alias("hash"), F.col("asked.wanted").alias("wanted"))
-    found = staged.put(asked.mapInArrow(_map_contexts(parts), CONTEXTS).repartition("part").sortWithinPartitions("part").mapInArrow(_own_contexts, "row long, spans binary"))
+    marks = staged.put(rows.mapInArrow(_map_contexts(parts, shared, bits, around_bits), CONTEXTS).repartition("part").sortWithinPartitions("part").mapInArrow(_own_contexts, MARKS))
     _release(spark)
-    whole = marks.where("whole is not null").select("row", "whole", F.lit(None).cast("binary").alias("spans"))
-    hits = whole.unionByName(found.select("row", F.lit(None).cast("binary").alias("whole"), "spans")).groupBy(F.col("row").alias(ROW)).agg(F.collect_list("whole").alias("whole"), F.collect_list("spans").alias("spans"))
+    hits = marks.groupBy(F.col("row").alias(ROW)).agg(F.collect_list("whole").alias("whole"), F.collect_list("spans").alias("spans"))
     return rows.join(hits, ROW, "left").select(ROW, "doc_id", "text", "whole", "spans").mapInArrow(_cut_out(keep_bytes), RESULT)
 
 

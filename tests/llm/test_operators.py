@@ -348,7 +348,8 @@ def test_index_refines_prefixes(spark):
 # op6
 
 
-def test_suffix_dedup(spark):
+@pytest.mark.parametrize("around_bits", [64, 0, 2])  # with few bits surroundings collide, in batches and across them
+def test_suffix_dedup(spark, around_bits):
     rng = random.Random(7)
     letters = "abcdefgh "
     passage = "".join(rng.choice(letters) for _ in range(150))
@@ -357,7 +358,7 @@ def test_suffix_dedup(spark):
     texts += ["".join(rng.choice("ab") for _ in range(rng.randint(1, 9))) * rng.randint(1, 40) for _ in range(40)]
     big = "".join(rng.choice(letters) for _ in range(1_300_000))
     texts += [big, "q" + big[500_000:]]
-    got = {r.doc_id: r for r in suffix_dedup.remove_repeats(frame(spark, texts)).collect()}
+    got = {r.doc_id: r for r in suffix_dedup.remove_repeats(frame(spark, texts), around_bits=around_bits).collect()}
     seen = set()
     for i, t in enumerate(texts):
         data = (t or "").encode()
