@@ -14,7 +14,7 @@ Cases: null and empty texts have zero features and are scored; null languages an
 values of their own; labels without document, null labels and documents labelled twice (smallest
 label counts) do no harm; with no labels or only one class, all documents are kept at the share of
 good labels (1 if none); very long texts are read whole; an empty table gives an empty one; other
-columns pass through untouched.
+columns pass through untouched, but for ones named quality_score and quality_kept, which are replaced.
 """
 
 from __future__ import annotations
@@ -49,7 +49,7 @@ def features(text: bytes, lang: str | None, source: str | None) -> np.ndarray:
     """The text view's numbers, then the page view's."""
     out = np.zeros(TEXT_FEATURES + PAGE_FEATURES, np.float32)
     for kind, value in (("lang", lang), ("source", source)):
-        out[TEXT_FEATURES + zlib.crc32(f"{kind}\0{value}".encode()) % HASHED] = 1
+        out[TEXT_FEATURES + zlib.crc32(f"{kind}\0{'' if value is None else '=' + value}".encode()) % HASHED] = 1
     size = len(text)
     if size:
         out[:256] = np.sqrt(np.bincount(np.frombuffer(text, np.uint8), minlength=256) / size)
@@ -189,5 +189,4 @@ def classify(docs: DataFrame, labels: DataFrame, max_labels: int = MAX_LABELS, m
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(model.value.score(x), pa.float64())], names=[*batch.schema.names, "score"])
 
     scored = renamed.mapInArrow(run, schema)
-    kept = [c for c in names if c not in ("quality_score", "quality_kept")]
-    return scored.select(*(F.col(slots[c]).alias(c) for c in kept), F.round("score", 6).alias("quality_score"), (F.col("score") >= threshold).alias("quality_kept"))
+    return scored.select(*(F.col(slots[c]).alias(c) for c in names if c not in ("quality_score", "quality_kept")), F.round("score", 6).alias("quality_score"), (F.col("score") >= threshold).alias("quality_kept"))
