@@ -8,19 +8,39 @@ from pyspark.sql.window import Window
 from lodestar.catalogue.registry import area
 from lodestar.operators import admission, spans
 from lodestar.operators.lexical import words
-from lodestar.plans import specs
+from lodestar.plans import intents, specs
 from lodestar.sources.corpus import CORPUS, corpus
 from lodestar.sources.tables import table
 
 query, QUERIES, ORACLE = area()
 
-@query(r"""WITH q(id, text) AS (VALUES (1, 'show all invoices of 2020'), (2, 'invoices of 2020'), (3, '+alpha +"beta gamma" delta'), (4, 'open "plan.pdf", please'), (5, 'how many files are there'), (6, 'AB-123 documents'))
-SELECT id, id IN (1, 5) AS exhaustive, id IN (2, 6) AS bounded, id = 3 AS strict, CASE WHEN id = 4 THEN 'plan.pdf' ELSE '' END AS file_name FROM q""")
+# Questions made of the words of each benchmark text: the driver's tables hold none.
+_ASK = """CASE item_id % 10 WHEN 0 THEN 'Zeige alle ' || w || ' Rechnungen' WHEN 1 THEN 'Rechnungen von ' || w || ' aus ' || (1990 + item_id % 40) WHEN 2 THEN '+' || w || ' +"' || w || ' plan" rest'
+  WHEN 3 THEN 'öffne bitte "' || w || '.pdf"' WHEN 4 THEN 'Wie viele ' || w || ' Belege gibt es' WHEN 5 THEN 'Dokumente AB-' || (100 + item_id) || ' zu ' || w WHEN 6 THEN 'Wie viele ' || repeat(w || ' ', 20) || 'Belege'
+  WHEN 7 THEN 'vollständige Liste zu ' || w WHEN 8 THEN '+' || w || ' ' || w || '.txt, lesen' ELSE w END"""
+
+
+def questions(spark, sf_dir):
+    """A question for each benchmark text, after its first word of four letters or more."""
+    w, i, lit = F.col("w"), F.col("item_id"), F.lit
+    kinds = [
+        F.concat(lit("Zeige alle "), w, lit(" Rechnungen")), F.concat(lit("Rechnungen von "), w, lit(" aus "), (1990 + i % 40).cast("string")), F.concat(lit("+"), w, lit(' +"'), w, lit(' plan" rest')),
+        F.concat(lit('öffne bitte "'), w, lit('.pdf"')), F.concat(lit("Wie viele "), w, lit(" Belege gibt es")), F.concat(lit("Dokumente AB-"), (100 + i).cast("string"), lit(" zu "), w),
+        F.concat(lit("Wie viele "), F.repeat(F.concat(w, lit(" ")), lit(20)), lit("Belege")), F.concat(lit("vollständige Liste zu "), w), F.concat(lit("+"), w, lit(" "), w, lit(".txt, lesen")), w,
+    ]
+    b = table(spark, sf_dir, "benchmark").select("item_id", F.regexp_extract("text", "[a-z]{4,}", 0).alias("w")).where("w <> ''")
+    return b.select("item_id", "w", F.element_at(F.array(*kinds), (i % 10).cast("int") + 1).alias("text"))
+
+
+@query(rf"""WITH b AS (SELECT item_id, regexp_extract(text, '[a-z]{{4,}}') AS w FROM benchmark), q AS (SELECT item_id, w, {_ASK} AS text FROM b WHERE w <> ''),
+t AS (SELECT *, regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}]+(?:-[\p{{L}}\p{{N}}]+)*') AS v FROM q),
+f AS (SELECT *, regexp_matches(lower(text), '(^|[^\p{{L}}\p{{N}}-])alle .*(^|[^\p{{L}}\p{{N}}-])(rechnungen|belege|dokumente)($|[^\p{{L}}\p{{N}}-])') OR regexp_matches(lower(text), 'wie viele( .{{0,78}})? belege') OR contains(lower(text), 'vollständige liste') AS exhaustive FROM t)
+SELECT item_id, exhaustive, NOT exhaustive AND list_has_any(v, ['rechnungen', 'belege', 'dokumente', 'invoice', 'invoices', 'document', 'documents', 'file', 'files', 'mail', 'mails', 'brief', 'briefe', 'minute', 'minutes', 'offer', 'offers', 'statement', 'statements', 'receipt', 'receipts']) AND regexp_matches(text, '(^|[^0-9])(19|20)[0-9][0-9]($|[^0-9])|[A-Z][A-Z]-[0-9][0-9]') AS bounded,
+  item_id % 10 = 2 AS strict, CASE item_id % 10 WHEN 3 THEN w || '.pdf' WHEN 8 THEN w || '.txt' ELSE '' END AS file_name, item_id % 10 = 3 AS navigation FROM f""")
 def question_intents(spark, sf_dir):
     """F23, F24, F25, F27, F28, F29."""
-    rows = [(1, "show all invoices of 2020"), (2, "invoices of 2020"), (3, '+alpha +"beta gamma" delta'), (4, 'open "plan.pdf", please'), (5, "how many files are there"), (6, "AB-123 documents")]
-    q, t = spark.createDataFrame(rows, "id int, text string"), F.col("text")
-    return q.select("id", specs.exhaustive(t).alias("exhaustive"), specs.bounded(t).alias("bounded"), specs.strict(t).alias("strict"), specs.file_name(t).alias("file_name"))
+    t = F.col("text")
+    return questions(spark, sf_dir).select("item_id", intents.exhaustive(t).alias("exhaustive"), intents.bounded(t).alias("bounded"), intents.strict(t).alias("strict"), intents.file_name(t).alias("file_name"), intents.navigation(t).alias("navigation"))
 
 
 @query(r"""WITH w AS (SELECT item_id, list_filter(list_transform(string_split(text, ' '), lambda x: trim(regexp_replace(x, '\s+', ' ', 'g'))), lambda x: length(x) > 0) AS v FROM benchmark)

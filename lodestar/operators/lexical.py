@@ -1,8 +1,9 @@
 """Lexical retrieval over batches of queries.
 
 Analyzer: lower-cased runs of letters and digits, no stemming. Scores are BM25 (k1 1.2, b 0.75).
-Documents are tokenized once; only tokens that some query asks for leave the scan, so the shuffle
-carries matches, not the corpus. Query terms are broadcast: they are the stated batch of queries.
+Documents are tokenized once: lengths, document frequencies and term frequencies all come from one
+shuffle by document, which carries matches, not the corpus; a query's score needs no other. Query terms go to the scan while a batch
+has at most SMALL of them; a larger batch is joined by shuffles.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from pyspark.sql.window import Window
 
 WORD = r"[\p{L}\p{N}]+"
 K1, B = 1.2, 0.75
+SMALL = 500_000
 
 
 def words(text: Column) -> Column:
@@ -24,26 +26,34 @@ def query_terms(queries: DataFrame, text: str = "text") -> DataFrame:
     return queries.select("query_id", F.explode(F.array_distinct(words(F.col(text)))).alias("term"))
 
 
-def matches(docs: DataFrame, terms: DataFrame) -> DataFrame:
-    """(document_id, dl, term, tf) for the terms of the batch."""
-    asked = F.broadcast(terms.select("term").distinct())
-    tokens = docs.select("document_id", words(F.col("content")).alias("w")).select("document_id", F.size("w").alias("dl"), F.explode("w").alias("term"))
-    return tokens.join(asked, "term", "left_semi").groupBy("document_id", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
+def if_small(df: DataFrame, source: DataFrame | None = None, most: int = SMALL) -> DataFrame:
+    """The table, marked for broadcast if it (or the source that bounds it) has no more rows than that."""
+    return F.broadcast(df) if (source or df).limit(most + 1).count() <= most else df
+
 
+def spread(df: DataFrame) -> DataFrame:
+    """Input of few files is dealt to all cores before costly expressions; input of many files stays where it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if len(df.inputFiles()) < cores else df
 
-def corpus_stats(docs: DataFrame) -> DataFrame:
-    return docs.agg(F.count(F.lit(1)).alias("n_docs"), F.avg(F.size(words(F.col("content")))).alias("avg_dl"))
+
+def matches(docs: DataFrame, terms: DataFrame) -> DataFrame:
+    """(document_id, dl, term, tf) for the terms of the batch, and for each document the empty term."""
+    asked = if_small(terms.select("term").union(terms.sparkSession.createDataFrame([("",)], "term string")).distinct())
+    tokens = spread(docs.select("document_id", "content")).select("document_id", words(F.col("content")).alias("w")).select("document_id", F.size("w").alias("dl"), F.explode(F.concat(F.coalesce("w", F.array().cast("array<string>")), F.array(F.lit("")))).alias("term"))
+    return tokens.join(asked, "term", "left_semi").repartition("document_id").groupBy("document_id", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
 def bm25_parts(docs: DataFrame, terms: DataFrame) -> DataFrame:
     """(query_id, document_id, term, part): what each term of a query adds to a document's score."""
     found = matches(docs, terms)
     df = found.groupBy("term").agg(F.count(F.lit(1)).alias("df"))  # no more rows than the batch has terms
-    stats = F.broadcast(corpus_stats(docs))  # one row
+    empty = F.col("term") == ""
+    stats = F.broadcast(found.agg(F.count_if(empty).alias("n_docs"), F.avg(F.when(empty, F.col("dl"))).alias("avg_dl")))  # one row
     idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avg_dl")))
-    weighted = found.join(F.broadcast(df), "term").crossJoin(stats).select("document_id", "term", part.alias("part"))
-    return weighted.join(F.broadcast(terms), "term")
+    weighted = terms.join(df, "term").crossJoin(stats)
+    return found.join(if_small(weighted, terms), "term").select("query_id", "document_id", "term", part.alias("part"))
 
 
 def bm25(docs: DataFrame, terms: DataFrame) -> DataFrame:
@@ -59,7 +69,7 @@ def top_k(hits: DataFrame, k: int, *by: str) -> DataFrame:
 
 def enough(hits: DataFrame, terms: DataFrame, share: float) -> DataFrame:
     """Hits that match at least floor(share * terms) terms of their query, and one."""
-    sizes = F.broadcast(terms.groupBy("query_id").agg(F.count(F.lit(1)).alias("asked")))
+    sizes = terms.groupBy("query_id").agg(F.count(F.lit(1)).alias("asked"))
     return hits.join(sizes, "query_id").where(F.col("matched") >= F.greatest(F.floor(F.col("asked") * share), F.lit(1))).drop("asked")
 
 

@@ -1,14 +1,10 @@
-"""Search specifications and questions: cleaning, intents, views and fingerprints (expressions on columns)."""
+"""Search specifications: cleaning, views and fingerprints (expressions on columns)."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Kinds of documents that questions name.
-NOUNS = "rechnungen?|dokumente?|dateien?|schreiben|verträge?|belege?|angebote?|protokolle?|invoices?|documents?|files?|receipts?|offers?|minutes"
-
-
 def clean_list(values: Column, most: int) -> Column:
     """White space collapsed, blanks dropped, each value once whatever its case, `most` at most."""
     tidy = F.filter(F.transform(values, lambda v: F.trim(F.regexp_replace(v, r"\s+", " "))), lambda v: F.length(v) > 0)
@@ -25,28 +21,6 @@ def fingerprint(*parts: Column) -> Column:
     return F.sha2(F.to_json(F.array(*(F.array_sort(F.transform(p, F.lower)) for p in parts))), 256)
 
 
-def exhaustive(question: Column) -> Column:
-    """Asks for all, or for a number, of some kind of document."""
-    q = F.lower(question)
-    return q.rlike(rf"\b(alle|sämtliche|vollständige|all|every|complete)\b.*\b({NOUNS})\b") | q.rlike(rf"\b(wie viele|anzahl|how many|count)\b.{{0,80}}\b({NOUNS})\b")
-
-
-def bounded(question: Column) -> Column:
-    """A kind of document together with a year, date or identifier, without asking for all."""
-    fixed = question.rlike(r"\b(?:19|20)[0-9]{2}\b") | question.rlike(r"\b[A-Z]{2,}[-/][0-9]{2,}")
-    return F.lower(question).rlike(rf"\b({NOUNS})\b") & fixed & ~exhaustive(question)
-
-
-def strict(query: Column) -> Column:
-    """Two mandatory words or phrases at least."""
-    return F.regexp_count(query, F.lit(r'(?:^|\s)\+(?:"[^"]+"|[\p{L}\p{N}])')) >= 2
-
-
-def file_name(question: Column) -> Column:
-    """A name with a known extension that the question spells out, else empty."""
-    return F.regexp_extract(question, r"(?i)(?:^|[\s\"'])([^\s\"'<>|]+\.(?:pdf|odt|ods|docx?|xlsx?|txt|md|csv|eml|png|jpe?g|zip))(?:$|[\s,;:!?\"'])", 1)
-
-
 def overflow(total: Column, scanned: Column, authorized: Column, most: int, scan_limit: int) -> Column:
     """Why a complete answer isn't possible, or null."""
     return F.when(authorized > most, "authorized_overflow").when((total > scanned) & (scanned >= max(most + 1, scan_limit)), "scan_limit_reached")
