@@ -47,10 +47,10 @@ def json_salvage(spark, sf_dir):
     return c.select("conv_id", "turn", F.from_json(text.json_payload(raw), "score int")["score"].alias("score"))
 
 
-@query(f"""WITH {_BM25} SELECT query_id, document_id, path || ' | ' || CAST(document_date AS VARCHAR) || ' | ' || substr(content, 1, 200) AS body FROM lex JOIN corpus USING (document_id)""")
+@query(f"""WITH {_BM25} SELECT query_id, document_id, path || ' | ' || CAST(document_date AS VARCHAR) || ' | ' || substr(content, 1, 1400) AS body FROM lex JOIN corpus USING (document_id)""")
 def rerank_texts(spark, sf_dir):
-    """What a reranker reads: path, date and text."""
-    d = corpus(spark, sf_dir).select("document_id", F.concat_ws(" | ", "path", F.col("document_date").cast("string"), F.substring("content", 1, 200)).alias("body"))
+    """What a reranker reads: path, date and text."""
+    d = corpus(spark, sf_dir).select("document_id", F.concat_ws(" | ", "path", F.col("document_date").cast("string"), F.substring("content", 1, 1400)).alias("body"))
     return lexical_hits(spark, sf_dir).select("query_id", "document_id").join(d, "document_id").select("query_id", "document_id", "body")
 
 
@@ -64,9 +64,10 @@ def highlighted(spark, sf_dir):
 @query("""WITH e AS (SELECT s_suppkey, s_nationkey FROM supplier), x AS (SELECT c_custkey, c_nationkey FROM customer)
 SELECT s_suppkey AS candidate, count(*) AS links FROM e JOIN x ON s_nationkey = c_nationkey GROUP BY 1""")
 def context_links(spark, sf_dir):
-    """Candidates and context entities that share a place, by an equi-join on it."""
+    """Candidates and context entities that share a place, by the number of its context entities."""
     s, c = table(spark, sf_dir, "supplier"), table(spark, sf_dir, "customer")
-    return s.join(c, F.col("s_nationkey") == F.col("c_nationkey")).groupBy(F.col("s_suppkey").alias("candidate")).agg(F.count(F.lit(1)).alias("links"))
+    n = c.groupBy(F.col("c_nationkey").alias("s_nationkey")).agg(F.count(F.lit(1)).alias("links"))
+    return s.join(n, "s_nationkey").select(F.col("s_suppkey").alias("candidate"), "links")
 
 
 @query("""WITH f AS (SELECT p_partkey AS id, p_brand || ':' || p_size || ':' || p_type AS form, p_name FROM part)
@@ -92,7 +93,7 @@ def sidecar_documents(spark, sf_dir):
 
 @query(f"WITH {_OBS} SELECT document_id, subject || ' supplies ' || object AS relation FROM obs")
 def relation_texts(spark, sf_dir):
-    """Relations as sentences."""
+    """Relations as sentences."""
     words = F.create_map(F.lit("SUPPLIES"), F.lit("supplies"))
     return observations(spark, sf_dir).select("document_id", F.concat_ws(" ", "subject", words[F.col("predicate")], "object").alias("relation"))
 
@@ -100,7 +101,7 @@ def relation_texts(spark, sf_dir):
 @query("""WITH r AS (SELECT c_custkey, c_nationkey, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_acctbal DESC, c_custkey) AS k FROM customer)
 SELECT c_nationkey AS root, string_agg(CAST(c_custkey AS VARCHAR), ',' ORDER BY k) AS best FROM r WHERE k <= 3 GROUP BY 1""")
 def nested_profiles(spark, sf_dir):
-    """The best members of each group as a list."""
+    """C14: the best members of each group as a list."""
     order = Window.partitionBy("c_nationkey").orderBy(F.desc("c_acctbal"), "c_custkey")
     r = table(spark, sf_dir, "customer").withColumn("k", F.row_number().over(order)).where("k <= 3")
     return r.groupBy(F.col("c_nationkey").alias("root")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "c_custkey"))), lambda s: s["c_custkey"].cast("string")), ",").alias("best"))

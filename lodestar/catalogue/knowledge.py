@@ -48,21 +48,31 @@ def direct_relations(spark, sf_dir):
 
 @query(f"WITH {_OBS} SELECT document_id, count(*) AS n, round(max(confidence), 6) AS confidence FROM obs WHERE subject IN (FROM ask) AND object IN (FROM ask) GROUP BY ALL")
 def observed_documents(spark, sf_dir):
-    """J15, A9, T9."""
+    """J15, A9."""
     return graph.observed_documents(observations(spark, sf_dir), asked(spark, sf_dir))
 
 
-@query(f"WITH {_OBS}, two(entity_id) AS (VALUES ('S1'), ('S2')) SELECT document_id, count(DISTINCT entity_id) AS entities, sum(mentions) AS mentions FROM men WHERE entity_id IN (FROM two) GROUP BY 1 HAVING count(DISTINCT entity_id) = 2")
+def supplier_pairs(spark, sf_dir):
+    """Suppliers 1 and 2, 3 and 4, ... as pairs: (pair_id, side, entity_id)."""
+    k = F.col("s_suppkey")
+    return table(spark, sf_dir, "supplier").select(F.floor((k + 1) / 2).alias("pair_id"), F.when(k % 2 == 1, "a").otherwise("b").alias("side"), F.concat(F.lit("S"), k.cast("string")).alias("entity_id"))
+
+
+_PAIRS = "pr AS (SELECT (s_suppkey + 1) // 2 AS pair_id, s_suppkey % 2 AS side, 'S' || s_suppkey AS entity_id FROM supplier)"
+
+
+@query(f"""WITH {_OBS}, {_PAIRS}, f AS (SELECT pair_id AS group_id, document_id, count(DISTINCT entity_id) AS entities, CAST(sum(mentions) AS BIGINT) AS mentions FROM men JOIN pr USING (entity_id) GROUP BY ALL)
+SELECT f.* FROM f JOIN (SELECT pair_id AS group_id, count(*) AS entities FROM pr GROUP BY 1) n USING (group_id, entities)""")
 def mentioning_all(spark, sf_dir):
-    """A8."""
-    two = spark.createDataFrame([("S1",), ("S2",)], "entity_id string")
-    return graph.mentioning_all(mentions(spark, sf_dir), two)
+    """For every pair of suppliers the documents that mention both."""
+    return graph.mentioning_all(mentions(spark, sf_dir), supplier_pairs(spark, sf_dir).select(F.col("pair_id").alias("group_id"), "entity_id"))
 
 
-@query(f"WITH {_OBS} SELECT a.object AS bridge, min(a.document_id) AS document_a, count(DISTINCT a.rid) AS n_a, min(b.document_id) AS document_b, count(DISTINCT b.rid) AS n_b FROM (SELECT *, row_number() OVER () AS rid FROM obs WHERE subject = 'S3') a JOIN (SELECT *, row_number() OVER () AS rid FROM obs WHERE subject = 'S4') b ON a.object = b.object GROUP BY 1")
+@query(f"""WITH {_OBS}, {_PAIRS}, m AS (SELECT pair_id, object AS bridge, min(CASE WHEN side = 1 THEN document_id END) AS document_a, count(CASE WHEN side = 1 THEN 1 END) AS n_a, min(CASE WHEN side = 0 THEN document_id END) AS document_b, count(CASE WHEN side = 0 THEN 1 END) AS n_b
+  FROM obs JOIN pr ON subject = entity_id GROUP BY ALL) SELECT * FROM m WHERE n_a > 0 AND n_b > 0""")
 def two_hop_bridge(spark, sf_dir):
-    """J16."""
-    return graph.bridges(observations(spark, sf_dir), "S3", "S4").select("bridge", "document_a", "n_a", "document_b", "n_b")
+    """For every pair of suppliers the customers of both."""
+    return graph.bridges(observations(spark, sf_dir), supplier_pairs(spark, sf_dir)).select("pair_id", "bridge", "document_a", "n_a", "document_b", "n_b")
 
 
 @query(f"""WITH {_OBS}, q AS (SELECT s_suppkey AS query_id, 'S' || s_suppkey AS a FROM supplier), t AS (
@@ -83,14 +93,14 @@ def graph_ladder(spark, sf_dir):
 
 @query(f"WITH {_OBS} SELECT entity_id, count(*) AS documents, sum(mentions) AS mentions FROM men GROUP BY 1")
 def mention_rollup(spark, sf_dir):
-    """A10, A21."""
+    """A10."""
     return mentions(spark, sf_dir).groupBy("entity_id").agg(F.count(F.lit(1)).alias("documents"), F.sum("mentions").alias("mentions"))
 
 
 @query("""WITH f AS (SELECT 'N' || c_nationkey AS entity_id, lower(c_mktsegment) AS normalized, c_name AS value, c_acctbal AS weight FROM customer)
 SELECT entity_id, normalized, value, weight FROM f QUALIFY row_number() OVER (PARTITION BY entity_id, normalized ORDER BY weight DESC, value) = 1""")
 def strongest_forms(spark, sf_dir):
-    """A11, A12, A13, W7, C13."""
+    """A11, A13, W7."""
     f = table(spark, sf_dir, "customer").select(F.concat(F.lit("N"), F.col("c_nationkey").cast("string")).alias("entity_id"), F.lower("c_mktsegment").alias("normalized"), F.col("c_name").alias("value"), F.col("c_acctbal").alias("weight"))
     order = Window.partitionBy("entity_id", "normalized").orderBy(F.desc("weight"), "value")
     return f.withColumn("nth", F.row_number().over(order)).where("nth = 1").drop("nth")
@@ -109,7 +119,7 @@ def same_as(spark, sf_dir):
 @query(f"""WITH RECURSIVE {_SAME}, u AS (SELECT a AS x, b AS y FROM e UNION SELECT b, a FROM e), r AS (SELECT x AS node, x AS seen FROM u UNION SELECT r.node, u.y FROM r JOIN u ON r.seen = u.x)
 SELECT node, min(seen) AS component FROM r GROUP BY 1""")
 def same_as_components(spark, sf_dir):
-    """D17, D18."""
+    """Components without blocks; see confirmed_components."""
     return cc.components(same_as(spark, sf_dir))
 
 
@@ -181,7 +191,7 @@ def promote_authorized(spark, sf_dir):
   lead(confidence) OVER (PARTITION BY mention ORDER BY confidence DESC, name) AS next FROM c)
 SELECT mention, name, round(confidence, 6) AS confidence, CASE WHEN confidence >= 0.95 AND confidence - coalesce(next, 0) >= 0.1 OR confidence >= 0.9 AND next IS NULL THEN 'resolved' WHEN confidence > 0 THEN 'candidates' ELSE 'unresolved' END AS status FROM r WHERE k = 1""")
 def resolver_merge(spark, sf_dir):
-    """The best candidate of each mention and whether it settles it."""
+    """The best candidate of each mention and whether it settles it."""
     c = table(spark, sf_dir, "customer").select(F.lower("c_mktsegment").alias("mention"), F.col("c_name").alias("name"), (F.col("c_acctbal") / 10000).alias("confidence"))
     order = Window.partitionBy("mention").orderBy(F.desc("confidence"), "name")
     r = c.withColumn("k", F.row_number().over(order)).withColumn("next", F.lead("confidence").over(order)).where("k = 1")
@@ -205,7 +215,7 @@ def merge_contexts(spark, sf_dir):
 d AS (SELECT normalized, min(CASE WHEN preferred THEN entity_id END) AS decided, count(DISTINCT CASE WHEN preferred THEN entity_id END) AS n_decided, count(DISTINCT entity_id) AS n, min(entity_id) AS one FROM f GROUP BY 1)
 SELECT normalized, CASE WHEN n_decided = 1 THEN decided WHEN n_decided = 0 AND n = 1 THEN one END AS entity_id FROM d""")
 def unique_forms(spark, sf_dir):
-    """A decided form wins, else a form that only one entity has."""
+    """A decided form wins, else a form that only one entity has."""
     c = table(spark, sf_dir, "customer").select(F.concat_ws(" ", F.lower("c_mktsegment"), F.col("c_nationkey").cast("string")).alias("normalized"), F.concat(F.lit("C"), F.col("c_custkey").cast("string")).alias("entity_id"), (F.col("c_custkey") % 5 == 0).alias("preferred"))
     chosen = F.when(F.col("preferred"), F.col("entity_id"))
     d = c.groupBy("normalized").agg(F.min(chosen).alias("decided"), F.count_distinct(chosen).alias("n_decided"), F.count_distinct("entity_id").alias("n"), F.min("entity_id").alias("one"))
@@ -216,7 +226,7 @@ def unique_forms(spark, sf_dir):
 e AS (SELECT email, min(c_custkey) AS id FROM k WHERE email IS NOT NULL GROUP BY 1 HAVING count(*) = 2), p AS (SELECT phone, min(c_custkey) AS id FROM k WHERE phone IS NOT NULL GROUP BY 1 HAVING count(*) = 2)
 SELECT c_custkey, coalesce(e.id, p.id, c_custkey) AS entity_id, CASE WHEN e.id IS NOT NULL THEN 'email' WHEN p.id IS NOT NULL THEN 'phone' ELSE 'new' END AS basis FROM k LEFT JOIN e USING (email) LEFT JOIN p USING (phone)""")
 def resolve_or_create(spark, sf_dir):
-    """M1, M2: the first rung of the ladder with exactly one counterpart decides."""
+    """M1: the first rung of the ladder with exactly one counterpart decides."""
     c = table(spark, sf_dir, "customer").select("c_custkey", F.when(F.col("c_acctbal") < 0, F.concat(F.lit("email:"), F.floor(F.col("c_custkey") / 2).cast("string"))).alias("email"), F.when(F.col("c_custkey") % 3 == 0, F.concat(F.lit("phone:"), F.floor(F.col("c_custkey") / 6).cast("string"))).alias("phone"))
     rung = lambda k: c.where(f"{k} is not null").groupBy(k).agg(F.min("c_custkey").alias(f"{k}_id"), F.count(F.lit(1)).alias("n")).where("n = 2").drop("n")
     r = c.join(rung("email"), "email", "left").join(rung("phone"), "phone", "left")

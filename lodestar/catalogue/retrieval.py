@@ -53,13 +53,13 @@ def vector_hits(spark: SparkSession, sf_dir: str, threshold: float | None = 0.1)
 
 @query(f"WITH {_BM25} SELECT query_id, document_id, score, rank FROM lex")
 def lexical_topk(spark, sf_dir):
-    """Every benchmark item is a query."""
+    """Every benchmark item is a query."""
     return lexical_hits(spark, sf_dir).select("query_id", "document_id", "score", F.col("rank").cast("long"))
 
 
 @query(f"WITH {_BM25}, s AS (SELECT query_id, count(*) AS asked FROM q GROUP BY 1) SELECT query_id, count(*) AS n, max(score) AS top FROM hit JOIN s USING (query_id) WHERE matched >= greatest(floor(asked * 0.25), 1) GROUP BY 1")
 def lexical_min_should_match(spark, sf_dir):
-    """Hits that hold a quarter of the terms, with the true total."""
+    """Hits that hold a quarter of the terms, with the true total."""
     terms = lexical.query_terms(asked(spark, sf_dir))
     kept = lexical.enough(lexical.bm25(corpus(spark, sf_dir), terms), terms, 0.25)
     return kept.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.max("score").alias("top"))
@@ -80,13 +80,13 @@ def phrase_prefix_search(spark, sf_dir):
 @query(f"""WITH {CORPUS}, {_TOKENS}, p AS (SELECT document_id, unnest(w) AS term, generate_subscripts(w, 1) AS pos FROM tok)
 SELECT a.document_id, count(DISTINCT a.pos) AS occurrences FROM p a JOIN p b ON a.document_id = b.document_id AND b.pos - a.pos BETWEEN 1 AND 3 WHERE a.term = 'in' AND b.term = 'the' GROUP BY 1""")
 def sloppy_phrase(spark, sf_dir):
-    """Up to two words between."""
+    """L4: up to two words between."""
     return lexical.sloppy(corpus(spark, sf_dir), "in", "the", 2)
 
 
 @query(f"WITH {CORPUS}, {_TOKENS} SELECT document_id, len(list_intersect(list_distinct(w), ['as', 'with'])) AS optional FROM tok WHERE list_has_all(w, ['the', 'of']) AND NOT list_contains(w, 'this')")
 def boolean_search(spark, sf_dir):
-    """L7, L9, L12."""
+    """L7, L12."""
     return lexical.boolean(corpus(spark, sf_dir), ["the", "of"], ["as", "with"], ["this"]).select("document_id", F.col("optional").cast("long"))
 
 
@@ -104,16 +104,23 @@ def concept_groups(spark, sf_dir):
     return lexical.top_k(scored, 10, "query_id").select("query_id", "document_id", "score", F.col("rank").cast("long"))
 
 
-@query("""SELECT * FROM (VALUES (1, 0, '+', 'word', 'contract'), (1, 1, '', 'phrase', 'annual report'), (1, 2, '-', 'word', 'draft'), (1, 3, '+', 'phrase', 'data set'), (2, 0, '', 'word', 'plain'), (2, 1, '', 'word', 'words')) t(query_id, pos, sign, kind, value)""")
+_SYNTAX = """w AS (SELECT item_id AS query_id, regexp_extract_all(lower(text), '[a-z]{3,}') AS v FROM benchmark), s AS (SELECT query_id, v FROM w WHERE len(v) >= 5)"""
+
+
+@query(f"""WITH {_SYNTAX}, t AS (SELECT query_id, unnest([{{'pos': 0, 'sign': '+', 'kind': 'word', 'value': v[1]}}, {{'pos': 1, 'sign': '', 'kind': 'phrase', 'value': v[2] || ' ' || v[3]}}, {{'pos': 2, 'sign': '-', 'kind': 'word', 'value': v[4]}}, {{'pos': 3, 'sign': '', 'kind': 'word', 'value': v[5]}}]) AS t FROM s)
+SELECT query_id, t.pos AS pos, t.sign AS sign, t.kind AS kind, t.value AS value FROM t""")
 def query_syntax(spark, sf_dir):
-    """L13, X18, X20."""
-    q = spark.createDataFrame([(1, '+contract „annual report" -draft +"data set"'), (2, "plain words")], "query_id int, text string")
+    """Queries with signs, typographic quotes and phrases, made of the words of each benchmark text."""
+    v = F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{3,}"), F.lit(0))
+    w = lambda i: F.get("v", F.lit(i))
+    q = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), v.alias("v")).where(F.size("v") >= 5)
+    q = q.select("query_id", F.concat(F.lit("+"), w(0), F.lit(" „"), w(1), F.lit(" "), w(2), F.lit("” -"), w(3), F.lit("  "), w(4)).alias("text"))
     return q.select("query_id", F.posexplode(lexical.query_tokens(F.col("text"))).alias("pos", "t")).select("query_id", "pos", "t.sign", "t.kind", "t.value")
 
 
 @query("""SELECT document_id, substr(content, greatest(coalesce(list_min(list_filter([strpos(lower(content), 'tion'), strpos(lower(content), 'ment')], lambda x: x > 0)), 1) - 60, 1), 120) AS snippet FROM corpus""")
 def snippets(spark, sf_dir):
-    """L14, X34."""
+    """L14."""
     terms = F.array(F.lit("tion"), F.lit("ment"))
     return corpus(spark, sf_dir).select("document_id", lexical.snippet(F.col("content"), terms).alias("snippet"))
 
@@ -126,7 +133,7 @@ def vector_topk(spark, sf_dir):
 
 @query(f"WITH {_VEC} SELECT query_id, document_id, chunk, score, rank FROM vd")
 def vector_documents(spark, sf_dir):
-    """Limit, then threshold, then the best chunk of each document."""
+    """Limit, then threshold, then the best chunk of each document."""
     return vector.best_chunk(vector_hits(spark, sf_dir)).select("query_id", "document_id", "chunk", "score", F.col("rank").cast("long"))
 
 
@@ -150,7 +157,7 @@ def weighted_rrf(spark, sf_dir):
 @query(f"""WITH {_ARMS}, p AS (SELECT query_id % 10 AS query_id, query_id AS probe, document_id, min(rank) AS rank FROM arm GROUP BY ALL)
 SELECT query_id, document_id, round(sum(1.0 / (60 + rank)), 9) AS rrf, count(*) AS probes, min(rank) AS best_rank FROM p GROUP BY ALL""")
 def probe_rrf(spark, sf_dir):
-    """Ten questions with several probes each."""
+    """A2: ten questions with several probes each."""
     hits = arms(spark, sf_dir).select((F.col("query_id") % 10).alias("query_id"), F.col("query_id").alias("probe"), "document_id", "rank")
     return fusion.probe_rrf(hits).withColumn("best_rank", F.col("best_rank").cast("long"))
 
@@ -178,7 +185,7 @@ c AS (SELECT *, rx AND x < 0.08 AS wx, ry AND y < 0.08 AS wy FROM b)
 SELECT query_id, CASE WHEN y IS NULL AND wx OR x IS NULL AND wy OR wx AND wy THEN 'unspecific' WHEN y IS NULL THEN 'lexical' WHEN x IS NULL THEN 'vector' WHEN wx THEN 'vector' WHEN wy THEN 'lexical'
   WHEN x >= y * 1.5 AND x - y >= 0.1 THEN 'lexical' WHEN y >= x * 1.5 AND y - x >= 0.1 THEN 'vector' ELSE 'fusion' END AS strategy FROM c""")
 def strategy_choice(spark, sf_dir):
-    """A6, A7."""
+    """A6."""
     c = fusion.curve_profile(arms(spark, sf_dir), "query_id", "arm")
     of = lambda arm, v: F.max(F.when(F.col("arm") == arm, F.col(v)))
     b = c.groupBy("query_id").agg(of("files", "signal").alias("x"), of("files", "reliable").alias("rx"), of("vector", "signal").alias("y"), of("vector", "reliable").alias("ry"))
@@ -198,7 +205,7 @@ def overlap_at_k(spark, sf_dir):
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rrf DESC, fr NULLS LAST, vr NULLS LAST, document_id) AS rank FROM f)
 SELECT query_id, document_id, rank, row_number() OVER (PARTITION BY query_id ORDER BY head DESC, rank) AS place FROM r QUALIFY place <= 15""")
 def candidate_pool(spark, sf_dir):
-    """The heads of each arm are admitted first."""
+    """The heads of each arm are admitted first."""
     hits = arms(spark, sf_dir)
     return fusion.admit(fusion.weighted_rrf(hits), hits, 3, 15).select("query_id", "document_id", F.col("rank").cast("long"), F.col("place").cast("long"))
 

@@ -33,11 +33,15 @@ def search_terms(spark, sf_dir):
     return table(spark, sf_dir, "benchmark").select("item_id", F.array_join(text.search_terms(F.col("text")), " ").alias("terms"))
 
 
-@query("""SELECT * FROM (VALUES (1, 'invoice paid in full', '+invoice +"paid in full"'), (2, 'a b', 'a -b'), (3, 'plan', '"plan"')) t(id, plain, unwrapped)""")
+@query("""WITH w AS (SELECT item_id, regexp_extract_all(lower(text), '[a-z]{3,}') AS v FROM benchmark) SELECT item_id, v[1] || ' ' || v[2] || ' ' || v[3] || ' ' || v[4] AS plain, '+' || v[1] || ' +"' || v[2] || ' ' || v[3] || '" -' || v[4] AS unwrapped FROM w WHERE len(v) >= 4""")
 def boolean_syntax(spark, sf_dir):
-    """X18, X23, X24."""
-    q = spark.createDataFrame([(1, '+(invoice) +("paid in full")'), (2, "a -b"), (3, "„plan“")], "id int, q string").select("id", text.straight_quotes(F.col("q")).alias("q"))
-    return q.select("id", text.plain_query(F.col("q")).alias("plain"), text.unwrap_groups(F.col("q")).alias("unwrapped"))
+    """Generated queries with brackets around words and phrases, made of the words of each benchmark text."""
+    v = F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{3,}"), F.lit(0))
+    w = lambda i: F.get("v", F.lit(i))
+    q = table(spark, sf_dir, "benchmark").select("item_id", v.alias("v")).where(F.size("v") >= 4)
+    asked = F.concat(F.lit("+("), w(0), F.lit(") +(„"), w(1), F.lit(" "), w(2), F.lit("“) -"), w(3))
+    q = q.select("item_id", text.straight_quotes(asked).alias("q"))
+    return q.select("item_id", text.plain_query(F.col("q")).alias("plain"), text.unwrap_groups(F.col("q")).alias("unwrapped"))
 
 
 @query("""SELECT c_custkey, '+' || regexp_replace(c_name, '[^0-9]', '', 'g') AS phone, lower(c_name) || '@example.com' AS email FROM customer""")

@@ -51,7 +51,9 @@ def checked_relations(relations: DataFrame, rules: DataFrame) -> DataFrame:
 
 def compatible(rules: DataFrame, types: DataFrame) -> DataFrame:
     """Predicates that may hold between two types: (subject_type, object_type, predicate)."""
-    return types.join(F.broadcast(rules), F.array_contains("domains", F.col("subject_type")) & F.array_contains("ranges", F.col("object_type"))).select("subject_type", "object_type", "predicate")
+    by_domain = rules.select("predicate", "ranges", F.explode(F.array_distinct("domains")).alias("subject_type"))
+    allowed = by_domain.select("predicate", "subject_type", F.explode(F.array_distinct("ranges")).alias("object_type"))
+    return types.join(allowed, ["subject_type", "object_type"]).select("subject_type", "object_type", "predicate")
 
 
 def grounded(evidence: Column, text: Column, forms: Column) -> Column:

@@ -39,5 +39,6 @@ def after_failure(jobs: DataFrame, most: int, base_seconds: int) -> DataFrame:
 
 def retain(jobs: DataFrame, newest: int, *by: str) -> DataFrame:
     """All but finished jobs, and of those the newest of each group."""
-    order = Window.partitionBy(*by, "status").orderBy(F.desc("job_id"))
-    return jobs.withColumn("nth", F.row_number().over(order)).where((F.col("status") != "done") | (F.col("nth") <= newest)).drop("nth")
+    order = Window.partitionBy(*by).orderBy(F.desc("job_id"))
+    done = jobs.where("status = 'done'").withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= newest).drop("nth")  # each task keeps its newest before the shuffle
+    return jobs.where("status <> 'done'").unionByName(done)
