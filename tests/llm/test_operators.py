@@ -510,6 +510,50 @@ def test_revealing_terms_stand_anywhere_in_the_text(spark):
     assert clean[5] == clean[400] == f"[TERM] [TERM] {far} [EMAIL] [EMAIL], {far} [TERM] w2 [TERM]"
 
 
+def test_terms_against_brute_force(spark):
+    """Every (value, term) pair scored straight from the formula."""
+    rng = random.Random(14)
+    values = ["bob@x.org", "+49 123 456 7890", "10.0.0.1", "al@b.co"]
+    texts = []
+    for i in range(120):
+        words = [f"w{rng.randrange(60)}" for _ in range(rng.randint(3, 12))]
+        for v in values[: rng.randint(0, 2)] if i % 3 else [rng.choice(values)]:
+            words.insert(rng.randint(0, len(words)), v + rng.choice(["", "", "zz"]))
+        texts.append(" ".join(words))
+    texts += texts[:5] + [None, ""]
+    got = {r.doc_id: [x for x in r.spans.split(",") if x.startswith("term")] for r in pii.personal_data(frame(spark, texts), disclosure=0.3).collect()}
+    bases = [[(int(s), int(e), k, (t or "")[int(s) : int(e)].lower()) for k, s, e in (x.split(":") for x in base_spans(t).split(",") if x)] for t in texts]
+    terms = [[(m.start(), m.end(), m[0].lower()) for m in re.finditer(r"(?<![^\W_])[^\W_]{1,40}(?![^\W_])", t or "") if not any(s < m.end() and e > m.start() for s, e, *_ in b)] for t, b in zip(texts, bases, strict=True)]
+    distinct = {t or "": i for i, t in enumerate(texts)}
+    n_term = collections.Counter(w for t in texts for w in {m[0].lower() for m in re.finditer(r"(?<![^\W_])[^\W_]{1,40}(?![^\W_])", t or "")})
+    pairs, held = collections.defaultdict(set), collections.defaultdict(set)
+    for i, t in enumerate(texts):
+        for v in {(k, m) for _, _, k, m in bases[i]}:
+            held[v].add(t)
+            for w in {w for *_, w in terms[i]}:
+                pairs[v, w].add(i)
+    marked = collections.defaultdict(set)
+    for (v, w), docs in pairs.items():
+        k, total = len({texts[i] for i in docs}), len(distinct)
+        score = 1 + np.log((k + 0.5) / (k + 1) * len(docs) / n_term[w]) / np.log(total / len(held[v]))
+        if score >= 0.3:
+            for t in {texts[i] for i in docs}:
+                marked[t].add(w)
+    for i, t in enumerate(texts):
+        assert got[i] == [f"term:{a}:{b}" for a, b, w in terms[i] if w in marked[t]], i
+    assert sum(map(len, got.values())) > 10
+
+
+def test_many_spans_in_one_text(spark):
+    import time
+
+    texts = [" ".join(f"word{i % 50} user{i}@example.org" for i in range(10_000)), "plain"]
+    began = time.monotonic()
+    got = {r.doc_id: r for r in pii.personal_data(frame(spark, texts)).collect()}
+    assert got[0].n_email == 10_000 and got[0].base_sha256 == hashlib.sha256(base_spans(texts[0]).encode()).hexdigest()
+    assert time.monotonic() - began < 90
+
+
 # op10
 
 
