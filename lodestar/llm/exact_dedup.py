@@ -251,4 +251,4 @@ def deduplicate(docs: DataFrame) -> DataFrame:
     staged = Staged(docs.sparkSession)
     rows = source_rows(staged, docs, *docs.columns)
     kept = staged.put(exact_groups(rows.drop(ROW)).where("kept").select(ROW))
-    return rows.join(kept, ROW, "left_semi").drop(ROW)
+    return rows.join(kept.hint("merge"), ROW, "left_semi").drop(ROW)  # a row for most texts: never broadcast
