@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -22,13 +23,16 @@ _roots: dict[str, str] = {}
 def scratch_dir(spark: SparkSession) -> str:
     """A folder of this session below spark.checkpoint.dir, which all executors share.
 
-    Only where the setting is absent (tests on one machine) a temporary folder takes its place.
+    Only where the setting is absent on one machine (tests) a temporary folder takes its place; a cluster must set it.
     The folder goes when the driver's Python ends.
     """
     app = spark.sparkContext.applicationId
     if app not in _roots:
         base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-        base = base or "file://" + tempfile.mkdtemp(prefix="lodestar-")
+        if not base:
+            if not re.fullmatch(r"local(\[.*)?", spark.sparkContext.master):
+                raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+            base = "file://" + tempfile.mkdtemp(prefix="lodestar-")
         root = f"{base.rstrip('/')}/lodestar-{app}-{uuid.uuid4().hex[:8]}"
         _roots[app] = root
         atexit.register(_forget, spark, root)
@@ -89,6 +93,14 @@ def source_rows(staged: Staged, df: DataFrame, *columns: str) -> DataFrame:
     return with_row(picked)
 
 
+def set_aside(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """The table with a column named ROW (in any case) renamed, and what to rename back with withColumnsRenamed."""
+    taken = {c.lower() for c in df.columns}
+    other = next(f"{ROW}_{i}" for i in range(len(taken) + 1) if f"{ROW}_{i}" not in taken)
+    names = {c: other for c in df.columns if c.lower() == ROW}
+    return df.withColumnsRenamed(names), {new: old for old, new in names.items()}
+
+
 def _plain_scan(df: DataFrame) -> bool:
     plan = df._jdf.queryExecution().optimizedPlan()
     while plan.children().size() == 1 and plan.nodeName() in ("Project", "SubqueryAlias"):

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import ASCII_SPACE, ROW, Staged, binary_column, pieces, source_rows, splitmix
+from lodestar.llm.common import ASCII_SPACE, ROW, Staged, binary_column, pieces, set_aside, source_rows, splitmix
 
 CAPACITY = 32 << 20
 PIECE = 8 << 20
@@ -247,8 +247,9 @@ def exact_groups(docs: DataFrame, capacity: int = CAPACITY, hash_bits: int = 64)
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:
-    """The rows that stay, with all their columns."""
+    """The rows that stay, with all their columns, whatever they are called. Cases: see the module's."""
     staged = Staged(docs.sparkSession)
+    docs, back = set_aside(docs)
     rows = source_rows(staged, docs, *docs.columns)
     kept = staged.put(exact_groups(rows.drop(ROW)).where("kept").select(ROW))
-    return rows.join(kept.hint("merge"), ROW, "left_semi").drop(ROW)  # a row for most texts: never broadcast
+    return rows.join(kept.hint("merge"), ROW, "left_semi").drop(ROW).withColumnsRenamed(back)  # a row for most texts: never broadcast

@@ -43,7 +43,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lodestar.llm.common import ROW, Staged, binary_column, pieces, source_rows, splitmix
+from lodestar.llm.common import ROW, Staged, binary_column, pieces, set_aside, source_rows, splitmix
 from lodestar.llm.components import components
 
 SHINGLE = 5
@@ -390,7 +390,8 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
 def one_per_group(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """The rows of docs, all columns, but of each component only the one with the smallest doc_id (null last), then row."""
     staged = Staged(docs.sparkSession)
+    docs, back = set_aside(docs)
     rows = source_rows(staged, docs, *docs.columns)
     first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", ROW))
     kept = staged.put(similarity_components(rows.drop(ROW), shingle).groupBy("label").agg(first.alias("first")).select(f"first.{ROW}"))
-    return rows.join(kept.hint("merge"), ROW, "left_semi").drop(ROW)  # a row for most texts: never broadcast
+    return rows.join(kept.hint("merge"), ROW, "left_semi").drop(ROW).withColumnsRenamed(back)  # a row for most texts: never broadcast
