@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestar.sources.tables import shared_folder
+
 
 def _folder(spark: SparkSession) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="lodestar-")
-    return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex[:12]}"
+    return f"{shared_folder(spark)}/stream-{uuid.uuid4().hex[:12]}"
 
 
 def stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
