@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from importlib import import_module
 
-AREAS = ("filters", "retrieval", "texts", "knowledge", "operations", "plans", "planning", "curation", "composites")
+AREAS = ("filters", "retrieval", "texts", "knowledge", "operations", "plans", "planning", "curation", "registers", "composites")
 
 
 def queries() -> dict[str, Callable]:
