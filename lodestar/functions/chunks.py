@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+from bisect import bisect_left
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -11,30 +13,32 @@ from pyspark.sql import types as T
 
 from lodestar.functions.types import TEXT, WHOLE, struct
 
+BREAK = re.compile(r"[ \n]")
 PIECES = T.ArrayType(struct(chunk_no=WHOLE, start=WHOLE, text=TEXT))
 
 
-def cut(text: str | None, size: int, overlap: int, floor: float = 0.5, marks: tuple[str, ...] = ("\n\n", "\n", ". ", " ")) -> Iterator[tuple[int, str]]:
-    """(start, piece): each piece ends at the furthest mark past `floor` of its size, the next begins `overlap` before."""
+def cut(text: str | None, size: int, overlap: int, floor: float = 0.5) -> Iterator[tuple[int, str]]:
+    """(start, piece): pieces of at most `size` that end at their last blank or line end past `floor` of it, if there is one.
+
+    A paragraph's end, a line's and a sentence's all begin or end with such a place, so the furthest of them is one. The next
+    piece begins `overlap` before. Without a size the text is one piece.
+    """
     body = (text or "").strip()
     if size <= 0:
-        if body:
-            yield 0, body
+        yield from [(0, body)] if body else ()
         return
-    overlap = max(0, overlap) if overlap < size else size // 5
-    start = 0
-    while start < len(body):
+    back = min(max(0, overlap), size) if overlap < size else size // 5
+    breaks = [m.start() for m in BREAK.finditer(body)]
+    start, end = 0, 0
+    while end < len(body):
         end = min(len(body), start + size)
         if end < len(body):
-            at, mark = max((body.rfind(m, start + int(size * floor), end), m) for m in marks)
-            if at > start:
-                end = at + (1 if body.startswith(". ", at) else 0)
-        piece = body[start:end].strip()
-        if piece:
+            last = bisect_left(breaks, end) - 1
+            if last >= 0 and breaks[last] >= start + max(1, int(size * floor)):
+                end = breaks[last]
+        if piece := body[start:end].strip():
             yield start, piece
-        if end == len(body):
-            return
-        start = max(start + 1, end - overlap)
+        start = max(start + 1, end - back)
 
 
 def chunker(size: int, overlap: int, floor: float = 0.5, most: int | None = None) -> Callable[[Column], Column]:
