@@ -165,3 +165,43 @@ def citation_rewriting(spark, sf_dir):
     parts = rows.select("conv_id", "turn", "role", "text", F.posexplode(F.array(F.substr("whole", F.lit(1), half), F.substr("whole", half + 1, F.lit(10)))).alias("part", "chunk"))
     whole = parts.groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "role", "text", "part", "chunk"))), lambda x: x["chunk"]), "").alias("whole"))
     return whole.select("conv_id", F.md5(F.replace(F.replace("whole", F.lit("[[E0]]"), F.lit("[1]")), F.lit("[[E1]]"), F.lit("[2]"))).alias("text"))
+
+
+def _bm25_of(content: str, mark: str) -> str:
+    """The parts of BM25 over a field, their names marked."""
+    return rf"""tok{mark} AS (SELECT document_id, regexp_extract_all(lower({content}), '[\p{{L}}\p{{N}}]+') AS w FROM corpus),
+tf{mark} AS (SELECT document_id, dl, term, count(*) AS tf FROM (SELECT document_id, len(w) AS dl, unnest(w) AS term FROM tok{mark}) WHERE term IN (SELECT term FROM q) GROUP BY ALL),
+df{mark} AS (SELECT term, count(*) AS df FROM tf{mark} GROUP BY term), st{mark} AS (SELECT count(*) AS n, avg(len(w)) AS a FROM tok{mark}),
+hit{mark} AS (SELECT query_id, document_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / a))), 6) AS score FROM tf{mark} JOIN df{mark} USING (term) JOIN q USING (term), st{mark} GROUP BY query_id, document_id)"""
+
+
+@query(rf"""WITH {CORPUS}, q AS (SELECT DISTINCT item_id AS query_id, unnest(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}]+')[1:4]) AS term FROM benchmark), {_bm25_of("path || ' ' || content", "_b")}, {_bm25_of("content", "_c")},
+u AS (SELECT query_id, document_id, 2 * score AS score FROM hit_b UNION ALL SELECT query_id, document_id, score FROM hit_c), m AS (SELECT query_id, document_id, max(score) * CAST(1.5 AS DOUBLE) AS score FROM u GROUP BY ALL)
+SELECT query_id, document_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, document_id) AS rank FROM m QUALIFY rank <= 10""")
+def field_search(spark, sf_dir):
+    """L1, L2: the best of name and text together and of the text, boosted; the first words of each benchmark text ask."""
+    b = table(spark, sf_dir, "benchmark")
+    terms = b.select(F.col("item_id").alias("query_id"), F.explode(F.array_distinct(F.slice(lexical.words(F.col("text")), 1, 4))).alias("term"))
+    return lexical.top_k(lexical.best_field(corpus(spark, sf_dir), terms, 1.5), 10, "query_id").select("query_id", "document_id", "score", F.col("rank").cast("long"))
+
+
+@query(rf"""WITH {CORPUS}, f AS (SELECT item_id AS query_id, regexp_extract(lower(text), '([a-z]{{2,}}) ([a-z]{{2,}})', 1) AS a, regexp_extract(lower(text), '([a-z]{{2,}}) ([a-z]{{2,}})', 2) AS b FROM benchmark), g AS (SELECT query_id, a, b, CASE WHEN query_id % 2 = 0 THEN 2.4 ELSE 1.0 END AS boost FROM f WHERE a <> ''),
+j AS (SELECT document_id, ' ' || array_to_string(regexp_extract_all(lower(content), '[\p{{L}}\p{{N}}]+'), ' ') || ' ' AS t FROM corpus)
+SELECT query_id, count(*) AS n, max(CAST(boost AS DOUBLE)) AS score, min(document_id) AS first FROM g, j WHERE contains(t, ' ' || a || ' ' || b || ' ') OR (query_id % 2 = 0 AND regexp_matches(t, ' ' || a || ' [^ ]+ ' || b || ' ')) GROUP BY 1""")
+def entity_forms(spark, sf_dir):
+    """Forms of entities as phrases; those of persons (every second question) may have a word between and weigh 2.4."""
+    pair = lambda i: F.regexp_extract(F.lower("text"), "([a-z]{2,}) ([a-z]{2,})", i)
+    person = F.col("item_id") % 2 == 0
+    forms = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), pair(1).alias("first"), pair(2).alias("second"), F.when(person, 1).otherwise(0).alias("slop"), F.when(person, 2.4).otherwise(1.0).alias("boost")).where("first <> ''")
+    hit = lexical.entity_groups(corpus(spark, sf_dir), forms)
+    return hit.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.max("score").alias("score"), F.min("document_id").alias("first"))
+
+
+@query(r"""WITH t AS (SELECT DISTINCT term FROM (SELECT unnest(regexp_extract_all(lower(text), '[a-z]+')[1:6]) AS term FROM benchmark)), v AS (SELECT DISTINCT expansion FROM (SELECT unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')) AS expansion FROM documents)),
+n AS (SELECT term, expansion, levenshtein(term, expansion) AS distance, CASE WHEN length(term) < 3 THEN 0 WHEN length(term) <= 5 THEN 1 ELSE 2 END AS edits FROM t JOIN v ON substr(term, 1, 2) = substr(expansion, 1, 2) AND abs(length(term) - length(expansion)) <= 2 AND term <> expansion AND regexp_matches(expansion, '^[a-z]+$'))
+SELECT term, expansion, distance, CAST(0.35 AS DOUBLE) AS boost FROM n WHERE distance <= edits QUALIFY row_number() OVER (PARTITION BY term ORDER BY distance, expansion) <= 50""")
+def fuzzy_siblings(spark, sf_dir):
+    """Near words of the corpus for the words of a question."""
+    terms = table(spark, sf_dir, "benchmark").select(F.explode(F.slice(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0)), 1, 6)).alias("term"))
+    vocabulary = lexical.spread(corpus(spark, sf_dir).select("content")).select(F.explode(lexical.words(F.col("content"))).alias("term")).where("term rlike '^[a-z]+$'").distinct()
+    return lexical.fuzzy_terms(terms, vocabulary).withColumn("distance", F.col("distance").cast("long"))

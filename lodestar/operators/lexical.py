@@ -123,3 +123,35 @@ def snippet(content: Column, terms: Column, reach: int = 120) -> Column:
     places = F.filter(F.transform(terms, lambda t: F.instr(F.lower(content), t)), lambda p: p > 0)
     start = F.greatest(F.coalesce(F.array_min(places), F.lit(1)) - reach // 2, F.lit(1))
     return F.substr(content, start, F.lit(reach))
+
+
+def best_field(docs: DataFrame, terms: DataFrame, boost: float = 1.0) -> DataFrame:
+    """(query_id, document_id, score): the better of twice the score over name and text together and the score over the text, times a boost."""
+    both = docs.select("document_id", F.concat_ws(" ", "path", "content").alias("content"))
+    of = lambda d, factor: bm25(d, terms).select("query_id", "document_id", (F.col("score") * factor).alias("score"))
+    return of(both, 2.0).unionByName(of(docs, 1.0)).groupBy("query_id", "document_id").agg((F.max("score") * boost).alias("score"))
+
+
+def entity_groups(docs: DataFrame, forms: DataFrame) -> DataFrame:
+    """(query_id, document_id, score): of an entity's forms of two words the best that stands in a document.
+
+    forms: query_id, first, second, slop, boost. Forms meet documents by their first word; up to `slop` words may stand between.
+    """
+    tokens = spread(docs.select("document_id", "content")).select("document_id", words(F.col("content")).alias("w")).select("document_id", F.posexplode("w").alias("pos", "first"), "w")
+    runs = tokens.select("document_id", "first", F.try_element_at("w", F.col("pos") + 2).alias("next"), F.try_element_at("w", F.col("pos") + 3).alias("after")).distinct()
+    hit = (F.col("next") == F.col("second")) | ((F.col("slop") >= 1) & (F.col("after") == F.col("second")))
+    return runs.join(if_small(forms), "first").where(hit).groupBy("query_id", "document_id").agg(F.max("boost").alias("score"))
+
+
+def fuzzy_terms(terms: DataFrame, vocabulary: DataFrame, most: int = 50, boost: float = 0.35) -> DataFrame:
+    """(term, expansion, distance, boost): words with the same first two letters within the distance that a term's length allows.
+
+    Up to two letters must be equal, up to five may differ in one place, longer ones in two; the nearest `most` count.
+    """
+    key = lambda c: F.substring(c, 1, 2).alias("head")
+    t = terms.select("term").distinct().select("term", key("term"), F.when(F.length("term") < 3, 0).when(F.length("term") <= 5, 1).otherwise(2).alias("edits"))
+    v = vocabulary.select(F.col("term").alias("expansion")).distinct().select("expansion", key("expansion"))
+    near = t.join(v, "head").where((F.abs(F.length("term") - F.length("expansion")) <= F.col("edits")) & (F.col("term") != F.col("expansion")))
+    found = near.withColumn("distance", F.levenshtein("term", "expansion", 2)).where((F.col("distance") >= 0) & (F.col("distance") <= F.col("edits")))
+    order = Window.partitionBy("term").orderBy("distance", "expansion")
+    return found.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= most).select("term", "expansion", "distance", F.lit(boost).alias("boost"))
