@@ -2,29 +2,67 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+BLOCK = 2048
+BROADCAST_BYTES = 64 << 20
+PACKED = "ids array<long>, names array<string>, matrix binary"
+BEST = "query_id long, chunk long, document_id string, score double"
+
+
+def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (id, name, embedding) as blocks: ids, names and unit vectors; a zero vector has no direction and no score."""
+    for batch in batches:
+        batch = batch.filter(batch.column("embedding").is_valid())
+        for start in range(0, batch.num_rows, BLOCK):
+            part = batch.slice(start, BLOCK)
+            rows = np.asarray(part.column("embedding").flatten()).astype(np.float64).reshape(part.num_rows, -1)
+            norm = np.sqrt((rows * rows).sum(1))
+            kept = np.flatnonzero(norm > 0)
+            unit = rows[kept] / norm[kept, None]
+            lists = [pa.array([part.column(c).take(pa.array(kept)).to_pylist()], pa.list_(k)) for c, k in (("id", pa.int64()), ("name", pa.string()))]
+            yield pa.RecordBatch.from_arrays([*lists, pa.array([unit.tobytes()], pa.binary())], names=["ids", "names", "matrix"])
+
+
+def _blocks(rows: DataFrame, identity: str, name: str | None) -> DataFrame:
+    named = F.col(name).cast("string") if name else F.lit(None).cast("string")
+    return rows.select(F.col(identity).cast("long").alias("id"), named.alias("name"), F.col("embedding").cast("array<double>").alias("embedding")).mapInArrow(_pack, PACKED)
 
-def dot(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
+def _nearest(k: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block in batch.to_pylist():
+                if not block["ids"] or not block["query_ids"]:
+                    continue
+                chunks, asked = (np.frombuffer(block[m]).reshape(len(block[i]), -1) for m, i in (("matrix", "ids"), ("queries", "query_ids")))
+                scores, ids = np.round(asked @ chunks.T, 6), np.array(block["ids"])
+                for query, row in zip(block["query_ids"], scores, strict=True):
+                    least = np.partition(row, -k)[-k] if len(row) > k else -np.inf
+                    some = np.flatnonzero(row >= least)
+                    best = some[np.lexsort((ids[some], -row[some]))][:k]
+                    yield pa.RecordBatch.from_arrays([pa.array([query] * len(best), pa.int64()), pa.array(ids[best], pa.int64()), pa.array([block["names"][i] for i in best], pa.string()), pa.array(row[best], pa.float64())], names=[f.split()[0] for f in BEST.split(", ")])
 
-def norm(a: Column) -> Column:
-    return F.sqrt(F.aggregate(a, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
+    return run
 
 
 def cosine_top_k(chunks: DataFrame, queries: DataFrame, k: int, threshold: float | None = None) -> DataFrame:
     """(query_id, chunk, document_id, score, rank): the k nearest chunks of each query; the threshold comes after the limit.
 
-    The query vectors are broadcast against the chunks in the scan: a stated batch of queries, not a
-    corpus-by-corpus product. Each task keeps its best k per query before anything is shuffled
-    (a window group limit), so the shuffle carries tasks * queries * k rows.
+    A stated batch of queries meets all chunks in blocks, one matrix product for each pair of blocks. Only a block's best k per
+    query leave it. Blocks of queries go to the scan while they are small, else pairs of blocks are shuffled. Rows without a
+    vector, or with a zero one, have no score.
     """
-    q = F.broadcast(queries.select("query_id", F.col("embedding").alias("q"), norm(F.col("embedding")).alias("q_norm")))
-    c = chunks.select("chunk", "document_id", "embedding", norm(F.col("embedding")).alias("norm"))
-    scored = c.crossJoin(q).select("query_id", "chunk", "document_id", F.round(dot(F.col("embedding"), F.col("q")) / (F.col("norm") * F.col("q_norm")), 6).alias("score"))
+    asked = _blocks(queries, "query_id", None).select(F.col("ids").alias("query_ids"), F.col("matrix").alias("queries"))
+    size = asked.agg(F.sum(F.length("queries"))).first()[0] or 0
+    pairs = _blocks(chunks, "chunk", "document_id").crossJoin(F.broadcast(asked) if size <= BROADCAST_BYTES else asked)
+    scored = pairs.select("ids", "names", "matrix", "query_ids", "queries").mapInArrow(_nearest(k), BEST)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk")
     best = scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return best if threshold is None else best.where(F.col("score") >= threshold)
