@@ -278,8 +278,8 @@ def _release(spark) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
-def similarity_components(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """One row per document: its row, doc_id, n_shingles, component_id and label (a row of the component)."""
+def labelled(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
+    """One row per document: its row, doc_id, n (shingles) and label (a row of the component)."""
     spark = docs.sparkSession
     staged = Staged(spark)
     rows = source_rows(staged, docs, "doc_id", "text").select(ROW, F.col("doc_id").cast("long"), F.col("text").cast("string"))
@@ -320,9 +320,7 @@ def similarity_components(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
             labels = staged.put(components(staged, links.unionByName(found)))
     _release(spark)
 
-    placed = inputs.join(labels.select(F.col("node").alias("rep"), "label"), "rep", "left").select("row", "doc_id", "n", F.coalesce("label", "rep").alias("label"))
-    smallest = placed.groupBy("label").agg(F.min("doc_id").alias("component_id"))
-    return placed.join(smallest, "label").select(F.col("row").alias(ROW), "doc_id", F.col("n").cast("long").alias("n_shingles"), "component_id", "label")
+    return inputs.join(labels.select(F.col("node").alias("rep"), "label"), "rep", "left").select("row", "doc_id", "n", F.coalesce("label", "rep").alias("label"))
 
 
 BLOCK = 512
@@ -383,8 +381,10 @@ def _folded(bits: np.ndarray, width: int) -> np.ndarray:
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """doc_id, n_shingles and component_id of every document."""
-    return similarity_components(docs, shingle).drop(ROW, "label")
+    """doc_id, n_shingles and component_id of every document. Cases: see the module's."""
+    placed = labelled(docs, shingle)
+    smallest = placed.groupBy("label").agg(F.min("doc_id").alias("component_id"))
+    return placed.join(smallest, "label").select("doc_id", F.col("n").cast("long").alias("n_shingles"), "component_id")
 
 
 def one_per_group(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
@@ -392,6 +392,6 @@ def one_per_group(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     staged = Staged(docs.sparkSession)
     docs, back = set_aside(docs)
     rows = source_rows(staged, docs, *docs.columns)
-    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", ROW))
-    kept = staged.put(similarity_components(rows.drop(ROW), shingle).groupBy("label").agg(first.alias("first")).select(f"first.{ROW}"))
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row"))
+    kept = staged.put(labelled(rows.drop(ROW), shingle).groupBy("label").agg(first.alias("first")).select(F.col("first.row").alias(ROW)))
     return rows.join(kept.hint("merge"), ROW, "left_semi").drop(ROW).withColumnsRenamed(back)  # a row for most texts: never broadcast

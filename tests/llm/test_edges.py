@@ -60,7 +60,7 @@ def test_components_of_null_and_repeated_ids(docs):
 def test_repeats_of_null_ids_come_last(docs):
     rows = sorted(((r.doc_id is None, r.doc_id or 0, r[ROW]), r.n_bytes, r.n_removed) for r in suffix_dedup.remove_repeats(docs).collect())
     size = len(LONG)
-    assert [x[1:] for x in rows] == [(size, 0), (size, size), (0, 0), (3, 0), (4, 0), (0, 0), (2, 0), (size + 4, size), (size, size), (size + 2, size), (0, 0)]
+    assert [x[1:] for x in rows] == [(size, 0), (size, size), (0, 0), (3, 0), (4, 0), (0, 0), (2, 0), (size + 4, size), (size, size), (size + 2, size + 1), (0, 0)]  # a blank before it stands in 5 too
 
 
 @pytest.mark.parametrize("of", [bpe.encode_documents, token_count.count_tokens, media.media_columns, pii.personal_data, source_mix.mix_report])
