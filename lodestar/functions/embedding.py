@@ -7,10 +7,9 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 
-from lodestar.functions.chunks import cut
+from lodestar.functions.chunks import BREAK
 
 SCHEMA = "document_id string, chunk_no int, part int, text string, vector array<double>"
-SMALLEST = 256
 Model = Callable[[list[str]], list[list[float]]]
 
 
@@ -30,16 +29,15 @@ def limited(most: int) -> Model:
 
 
 def split(text: str, overlap: int) -> list[str]:
-    """A refused text in parts of half its size at natural ends, or else in two halves; none if it can't be split."""
-    size = max(SMALLEST, len(text) // 2)
-    shared = min(max(0, overlap), size // 4)
-    parts = [p for _, p in cut(text, size, shared)]
-    if len(parts) > 1 and text not in parts:
-        return parts
-    middle = len(text) // 2
-    shared = min(shared, middle // 2)
-    halves = (text[: middle + shared].strip(), text[middle - shared :].strip()) if middle else ()
-    return [p for p in halves if p and p != text]
+    """A refused text in two parts, apart at the last blank or line end of its second quarter, else in the middle; none if it can't be split.
+
+    The second part begins up to `overlap` before, but an eighth of the text at most, so that parts always get shorter.
+    """
+    half = len(text) // 2
+    places = [m.start() for m in BREAK.finditer(text, half // 2, half + 1)]
+    middle = places[-1] if places else half
+    parts = (text[:middle].strip(), text[middle - min(max(0, overlap), half // 4) :].strip())
+    return [p for p in parts if p and p != text] if half else []
 
 
 def vectors(texts: list[str], embed: Model, overlap: int) -> Iterator[tuple[int, int, str, list[float]]]:
