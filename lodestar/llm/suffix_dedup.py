@@ -43,10 +43,10 @@ REACH = LENGTH - K  # how far left of its anchor a window can start
 SEGMENT = 1 << 20
 PART_BYTES = 16 << 20
 SORTED_AT_ONCE = 20_000
-COMPARED_AT_ONCE = 50_000
+COMPARED_AT_ONCE = 20_000
 PIECE = 32 << 20
 BITMAP_PARTS = 64
-LEAST_BITS, MOST_BITS = 22, 27  # the bitmap has 16 MB at most; when it is full, all anchors send their surroundings
+LEAST_BITS, MOST_BITS = 22, 28  # the bitmap has 32 MB at most; when it is full, all anchors send their surroundings
 LAST = (1 << 63) - 1
 _BASE = 0x9E3779B97F4A7C15
 _BYTE = splitmix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))
@@ -204,11 +204,12 @@ def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
 
 def _own_hashes(bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = np.zeros(1 << bits, bool)
+        seen = np.zeros(1 << bits - 3, np.uint8)
         for held in _parts(batches):
             hashes = np.sort(np.concatenate([np.frombuffer(h, np.uint64) for (h,) in held]))
-            seen[_slots(hashes[1:][hashes[1:] == hashes[:-1]], bits)] = True
-        packed = np.packbits(seen).reshape(BITMAP_PARTS, -1)
+            slots = _slots(hashes[1:][hashes[1:] == hashes[:-1]], bits)
+            np.bitwise_or.at(seen, slots >> 3, (128 >> (slots & 7)).astype(np.uint8))
+        packed = seen.reshape(BITMAP_PARTS, -1)
         some = np.flatnonzero(packed.any(1))
         yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([packed[i].tobytes() for i in some], pa.binary())], names=["part", "bits"])
 
@@ -237,12 +238,17 @@ def shared_slots(rows: DataFrame, parts: int, bits: int, around_bits: int = 64)
     return out.ravel()
 
 
-def surroundings(texts: list[bytes], number: np.ndarray, pos: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(bytes around each anchor, zero beyond the text; how many of them lie left and right of its start)."""
+def laid_out(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(all stretches of bytes as long as surroundings, where each text starts among them, sizes of the texts)."""
     sizes = np.array([len(t) for t in texts], np.int64)
-    starts = np.cumsum(sizes) - sizes + REACH
-    data = np.frombuffer(bytes(REACH) + b"".join(texts) + bytes(LENGTH), np.uint8)
-    view = np.lib.stride_tricks.sliding_window_view(data, _CONTEXT)[starts[number] + pos - REACH]
+    data = np.frombuffer(b"".join([bytes(REACH), *texts, bytes(LENGTH)]), np.uint8)
+    return np.lib.stride_tricks.sliding_window_view(data, _CONTEXT), np.cumsum(sizes) - sizes, sizes
+
+
+def surroundings(laid: tuple[np.ndarray, np.ndarray, np.ndarray], number: np.ndarray, pos: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes around each anchor, zero beyond the text; how many of them lie left and right of its start)."""
+    stretches, starts, sizes = laid
+    view = stretches[starts[number] + pos]
     reach = np.column_stack([np.minimum(pos, REACH), np.minimum(sizes[number] - pos, LENGTH)]).astype(np.uint8)
     at = np.arange(_CONTEXT)
     return np.where((at >= REACH - reach[:, :1]) & (at < REACH + reach[:, 1:].astype(np.int64)), view, 0), reach
@@ -277,7 +283,9 @@ def _map_contexts(parts: int, shared, bits: int, around_bits: int):
         slots, pack = shared.value, zstandard.ZstdCompressor(level=1).compress
         for batch in pieces(batches, "text", PIECE):
             texts, found = batch_anchors(batch, around_bits)
-            same = again(found["hash"], found["around"], lambda i, t=texts, f=found: surroundings(t, f["number"][i], f["pos"][i]))
+            laid = laid_out(texts)
+            del texts
+            same = again(found["hash"], found["around"], lambda i, t=laid, f=found: surroundings(t, f["number"][i], f["pos"][i]))
             rows = [(-1 - row % 1024, row, None, None, None, None, pos, None, None) for row, pos in zip(*_by_row(found["row"][same], found["pos"][same]), strict=True)]
             slot = _slots(found["hash"], bits)
             shared_here = np.zeros(len(same), bool)  # first ones of a hash that has several in this batch
@@ -287,7 +295,7 @@ def _map_contexts(parts: int, shared, bits: int, around_bits: int):
             asked = np.flatnonzero(~same & (shared_here | ((slots[slot >> 3] >> (7 - (slot & 7)).astype(np.uint8) & 1) == 1)))
             for part, own in _by_part(found["hash"][asked], parts):
                 own = asked[own]
-                view, reach = surroundings(texts, found["number"][own], found["pos"][own])
+                view, reach = surroundings(laid, found["number"][own], found["pos"][own])
                 rows.append((part, None, *(found[k][own].tobytes() for k in ("hash", "around", "doc", "row", "pos")), reach.tobytes(), pack(view.tobytes())))
                 if sum(len(r[8] or b"") for r in rows[-64:]) > PIECE:
                     yield _context_batch(rows)
