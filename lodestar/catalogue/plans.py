@@ -7,7 +7,7 @@ from pyspark.sql.window import Window
 
 from lodestar.catalogue.registry import area
 from lodestar.operators import admission, spans
-from lodestar.operators.lexical import words
+from lodestar.operators.lexical import spread, words
 from lodestar.plans import intents, specs
 from lodestar.sources.corpus import CORPUS, corpus
 from lodestar.sources.tables import table
@@ -113,7 +113,7 @@ def fuzzy_mentions(spark, sf_dir):
     names = table(spark, sf_dir, "benchmark").select(pair.alias("normalized"), F.col("item_id")).where("normalized <> ''").groupBy("normalized").agg(F.concat(F.lit("T"), F.min("item_id").cast("string")).alias("entity_id"))
     w = words(F.col("content"))
     later = lambda k: F.slice(w, k + 1, F.size(w)).alias(f"w{k}")
-    zipped = corpus(spark, sf_dir).where("content is not null").select(F.col("doc_id").alias("text_id"), F.posexplode(F.arrays_zip(later(0), later(1), later(2))).alias("pos", "z")).select("text_id", "pos", "z.*")
+    zipped = spread(corpus(spark, sf_dir).where("content is not null").select("doc_id", "content")).select(F.col("doc_id").alias("text_id"), F.posexplode(F.arrays_zip(later(0), later(1), later(2))).alias("pos", "z")).select("text_id", "pos", "z.*")
     runs = zipped.withColumn("size", F.explode(F.array(F.lit(2), F.lit(3)))).where("case size when 2 then w1 else w2 end is not null").select("text_id", "pos", "size", F.when(F.col("size") == 2, F.concat_ws(" ", "w0", "w1")).otherwise(F.concat_ws(" ", "w0", "w1", "w2")).alias("gram"))
     return spans.fuzzy_matches(runs, names, 85.0).select("text_id", "gram", "entity_id", "ratio").distinct()
 

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestar.functions.text import indel_ratio
-from lodestar.operators.lexical import words
+from lodestar.functions.ratios import Strings, candidates, ratios
+from lodestar.operators.lexical import if_small, words
 
 
 def grams(text: Column, most: int) -> Column:
@@ -45,21 +49,65 @@ def longest_first(matches: DataFrame) -> DataFrame:
     return matches.groupBy("text_id").applyInPandas(fold, CHOSEN)
 
 
+FORMS, PIECE = 512, 8192
+FOUND = "text_id long, pos int, size int, gram string, entity_id string, form string, ratio double"
+
+
+def _packed(rows: DataFrame, most: int) -> DataFrame:
+    """(block): the rows as Arrow tables of `most` rows at most."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, most):
+                part, sink = pa.Table.from_batches([batch.slice(start, most)]).combine_chunks(), pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, part.schema) as writer:
+                    writer.write_table(part)
+                yield pa.RecordBatch.from_arrays([pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["block"])
+
+    return rows.mapInArrow(run, "block binary")
+
+
+def _alike(least: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in range(batch.num_rows):
+                spans, forms = (pa.ipc.open_stream(batch.column(c)[r].as_buffer()).read_all() for c in ("block", "forms"))
+                grams = spans["gram"].combine_chunks().dictionary_encode()
+                a, b = Strings(grams.dictionary.to_pylist()), Strings(forms["form"].to_pylist())
+                words_a, words_b = (np.fromiter((v.count(" ") for v in x.values), np.int64, len(x.values)) for x in (a, b))
+                code = grams.indices.to_numpy()
+                order = np.argsort(code, kind="stable")
+                first = np.searchsorted(code[order], np.arange(len(a.values) + 1))
+                for i, j in candidates(a, b, least):
+                    close = np.abs(words_a[i] - words_b[j]) <= 1
+                    i, j = i[close], j[close]
+                    ratio = ratios(a, b, i, j)
+                    near = ratio >= least - 1e-3
+                    i, j, ratio = i[near], j[near], ratio[near]
+                    repeats = first[i + 1] - first[i]
+                    row = order[np.repeat(first[i] - np.cumsum(repeats) + repeats, repeats) + np.arange(repeats.sum())]
+                    j, ratio = np.repeat(j, repeats), np.repeat(ratio, repeats)
+                    for k in range(0, len(row), PIECE):
+                        found = spans.take(pa.array(row[k : k + PIECE])).combine_chunks()
+                        entity = forms.take(pa.array(j[k : k + PIECE])).combine_chunks()
+                        columns = [found.select(["text_id", "pos", "size", "gram"]), entity.select(["entity_id", "form"])]
+                        arrays = [c for t in columns for x in t.columns for c in [x.combine_chunks()]]
+                        yield pa.RecordBatch.from_arrays([*arrays, pa.array(ratio[k : k + PIECE])], names=[f.split()[0] for f in FOUND.split(", ")])
+
+    return run
+
+
 def fuzzy_matches(spans: DataFrame, forms: DataFrame, least: float) -> DataFrame:
     """Spans and forms whose numbers of words differ by one at most, by Indel ratio.
 
-    Different spans are compared once. Lengths bound the ratio from above and are the join key; the
-    Levenshtein distance, never above the Indel distance, bounds it before the exact ratio.
+    Blocks of spans meet blocks of forms where the spans are read, so spans aren't shuffled. Different spans of a block are
+    compared once. Signatures of the characters bound the distance before the exact ratio.
     """
-    count, n, m = F.size(F.split("gram", " ")), F.length("gram"), F.length("form")
-    low, high = F.ceil(m * least / (200 - least) - 1e-9), F.floor(m * (200 - least) / least + 1e-9)
-    a = spans.select("gram").distinct().select("gram", count.alias("words"), n.alias("size"))
-    b = forms.select("entity_id", F.col("normalized").alias("form")).withColumn("base", F.size(F.split("form", " ")))
-    b = b.withColumn("words", F.explode(F.sequence(F.col("base") - 1, F.col("base") + 1))).withColumn("size", F.explode(F.sequence(low.cast("int"), high.cast("int")))).drop("base")
-    close = F.expr(f"levenshtein(gram, form, cast(floor((length(gram) + length(form)) * {(100 - least) / 100!r} + 1e-9) as int)) >= 0")
-    near = a.join(b, ["words", "size"]).where((F.col("gram") != F.col("form")) & close).drop("words", "size")
-    found = near.withColumn("ratio", F.round(indel_ratio("gram", "form"), 4)).where(F.col("ratio") >= least)
-    return spans.select("text_id", "pos", "size", "gram").join(found, "gram")
+    a = spans.select(F.col("text_id").cast("long").alias("text_id"), F.col("pos").cast("int").alias("pos"), F.col("size").cast("int").alias("size"), "gram").where("gram is not null")
+    b = forms.select("entity_id", F.col("normalized").alias("form")).where("form is not null")
+    blocks = _packed(b, FORMS).withColumnRenamed("block", "forms")
+    met = _packed(a, PIECE).crossJoin(if_small(blocks, b)).mapInArrow(_alike(least), FOUND)
+    return met.where("gram <> form").withColumn("ratio", F.round("ratio", 4)).where(F.col("ratio") >= least)
 
 
 def best_candidates(found: DataFrame) -> DataFrame:

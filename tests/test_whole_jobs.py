@@ -3,7 +3,10 @@
 import random
 from difflib import SequenceMatcher
 
+import numpy as np
+
 from lodestar import catalogue
+from lodestar.functions import ratios, text
 from lodestar.operators import dedup, spans
 
 QUERIES = catalogue.queries()
@@ -41,3 +44,26 @@ def test_fuzzy_matches_at_the_beginning_and_with_other_word_counts(spark):
     forms = spark.createDataFrame([("E1", "john smithson")], "entity_id string, normalized string")
     got = {r.gram: r.ratio for r in spans.fuzzy_matches(runs, forms, 85.0).collect()}
     assert got == {"dohn smithson": 92.3077, "john smith son": 96.2963, "johnsmithson": 96.0}
+
+
+def test_ratios_of_many_pairs_are_those_of_single_ones():
+    rng = random.Random(5)
+    draw = lambda n: ["".join(rng.choice("abcdé ß😀x"[: rng.randint(1, 9)]) for _ in range(rng.choice([0, 1, 13, 63, 64, 65, 300]) if rng.random() < 0.3 else rng.randint(0, 20))) for _ in range(n)]
+    x, y = draw(120), draw(100)
+    y[:30] = x[:30]
+    a, b = ratios.Strings(x), ratios.Strings(y)
+    i, j = (g.ravel() for g in np.meshgrid(np.arange(120), np.arange(100), indexing="ij"))
+    want = [text.indel(x[p], y[q]) for p, q in zip(i, j, strict=True)]
+    assert ratios.ratios(a, b, i, j).tolist() == want
+    found = {(p, q) for k, m in ratios.candidates(a, b, 85.0) for p, q in zip(k.tolist(), m.tolist(), strict=True)}
+    assert {(p, q) for p, q, v in zip(i.tolist(), j.tolist(), want, strict=True) if v >= 85} <= found
+
+
+def test_fuzzy_matches_without_a_shuffle_of_spans(spark):
+    spans_ = spark.range(20_000).selectExpr("id % 7 text_id", "cast(id as int) pos", "2 size", "concat('john ', case when id % 4 = 0 then 'smitson' else cast(id as string) end) gram")
+    forms = spark.createDataFrame([(f"E{i}", "john smithson" if i == 3 else f"jane {i} doe") for i in range(1500)], "entity_id string, normalized string")
+    got = spans.fuzzy_matches(spans_, forms, 85.0)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hashpartitioning" not in plan and "SortMergeJoin" not in plan
+    rows = got.collect()
+    assert len(rows) == 5000 and {(r.gram, r.entity_id, r.ratio) for r in rows} == {("john smitson", "E3", 96.0)} and {r.pos for r in rows} == set(range(0, 20_000, 4))
