@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from lodestar.operators.lexical import if_small
+
 # Words that don't narrow a question about one entity.
 BROAD_WORDS = (
     "alle alles dokument dokumente dokumenten finde find gibt informationen information info infos mir nach suche such uber über unterlagen was weisst weißt "
@@ -73,10 +75,13 @@ def entity_phrases(detected: DataFrame, forms: DataFrame, strong: float) -> Data
     """
     best = Window.partitionBy("question_id").orderBy(F.desc("score"), "entity_id")
     fuzzy = detected.where((F.col("status") == "fuzzy_candidate") & (F.col("score") >= strong)).withColumn("nth", F.row_number().over(best)).where("nth = 1").drop("nth")
-    used = detected.where("status = 'resolved'").unionByName(fuzzy).join(forms, "entity_id")
-    capped = F.when(F.col("status") == "resolved", F.col("weight")).otherwise(F.least(F.lit(FUZZY_MOST), F.col("score") * FUZZY_SHARE))
-    once = used.select("question_id", "entity_id", "normalized", "value", F.round(capped, 4).alias("weight")).groupBy("question_id", "entity_id", "normalized")
-    return once.agg(F.max(F.struct("weight", "value")).alias("b")).select("question_id", "entity_id", "normalized", "b.value", "b.weight")
+    # An entity's forms are reduced before they meet questions: its best form, and for fuzzy ones, which all weigh alike, the last value.
+    held = forms.groupBy("entity_id", "normalized").agg(F.max(F.struct(F.round("weight", 4).alias("weight"), "value")).alias("best"), F.max("value").alias("last"))
+    used = detected.where("status = 'resolved'").unionByName(fuzzy).join(if_small(held), "entity_id")
+    capped = F.round(F.least(F.lit(FUZZY_MOST), F.col("score") * FUZZY_SHARE), 4)
+    one = F.when(F.col("status") == "resolved", F.col("best")).otherwise(F.struct(capped.alias("weight"), F.col("last").alias("value")))
+    once = used.select("question_id", "entity_id", "normalized", one.alias("one")).groupBy("question_id", "entity_id", "normalized")
+    return once.agg(F.max("one").alias("b")).select("question_id", "entity_id", "normalized", "b.value", "b.weight")
 
 
 def reranked(hits: DataFrame, scores: DataFrame, least: float, most: int) -> DataFrame:

@@ -8,6 +8,7 @@ import numpy as np
 from lodestar import catalogue
 from lodestar.functions import ratios, text
 from lodestar.operators import dedup, spans
+from lodestar.plans import planner
 
 QUERIES = catalogue.queries()
 
@@ -67,3 +68,32 @@ def test_fuzzy_matches_without_a_shuffle_of_spans(spark):
     assert "Exchange hashpartitioning" not in plan and "SortMergeJoin" not in plan
     rows = got.collect()
     assert len(rows) == 5000 and {(r.gram, r.entity_id, r.ratio) for r in rows} == {("john smitson", "E3", 96.0)} and {r.pos for r in rows} == set(range(0, 20_000, 4))
+
+
+def test_entity_phrases_reduce_forms_before_questions_meet_them(spark):
+    rng = random.Random(2)
+    forms = [(f"N{rng.randint(0, 3)}", rng.choice("ab"), rng.choice([None, "x", "y", "z"]), rng.choice([None, 0.61234, 0.5, 0.9])) for _ in range(60)]
+    detected = [(rng.randint(0, 30), f"N{rng.randint(0, 4)}", rng.choice(["resolved", "fuzzy_candidate", "unknown"]), rng.choice([0.8, 0.9, 0.95])) for _ in range(90)]
+    got = planner.entity_phrases(spark.createDataFrame(detected, "question_id long, entity_id string, status string, score double"), spark.createDataFrame(forms, "entity_id string, normalized string, value string, weight double"), 0.88)
+    fuzzy, want = {}, {}
+    for q, e, s, x in detected:
+        if s == "fuzzy_candidate" and x >= 0.88:
+            fuzzy[q] = min(fuzzy.get(q, (1, "")), (-x, e))
+    low = lambda v: (v is not None, v or 0)
+    for q, e, s, x in [d for d in detected if d[2] == "resolved"] + [(q, e, "fuzzy", -x) for q, (x, e) in fuzzy.items()]:
+        for entity, n, value, weight in forms:
+            if entity == e:
+                w = (None if weight is None else round(weight, 4)) if s == "resolved" else round(min(0.76, x * 0.82), 4)
+                want[q, e, n] = max(want.get((q, e, n), (None, None)), (w, value), key=lambda p: (low(p[0]), (p[1] is not None, p[1] or "")))
+    assert {(r.question_id, r.entity_id, r.normalized): (r.weight, r.value) for r in got.collect()} == want
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("Aggregate") == 2
+
+
+def test_facts_of_one_number_and_alike_facts_all_count(spark, tmp_path):
+    from datetime import datetime
+
+    day = datetime(2000, 1, 1)
+    rows = [(1, 1, 7, 4, day), (1, 1, 7, 5, day), (1, 1, 7, 4, day), (1, 2, 7, 6, day), (None, 1, 7, None, None), (2, 1, 8, 4, datetime(2001, 1, 1)), (2, 3, 8, 4, day)]
+    spark.createDataFrame(rows, "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_shipdate timestamp").write.parquet(f"{tmp_path}/lineitem.parquet")
+    got = {r.entity_id: (r.facts, r.roles, r.since) for r in QUERIES["register_facts"](spark, str(tmp_path)).collect()}
+    assert got == {7: (5, 3, day), 8: (1, 1, datetime(2001, 1, 1))}
