@@ -149,9 +149,9 @@ def confirmed_components(spark, sf_dir):
 @query("""SELECT l_partkey AS entity_id, 'register' AS source, count(*) AS facts, count(DISTINCT l_suppkey) AS roles, max(l_shipdate) AS since FROM lineitem WHERE l_linenumber <= 2 GROUP BY 1""")
 def register_facts(spark, sf_dir):
     """Facts and roles of a register, stored by entity whatever order and repeats they come in."""
-    r = table(spark, sf_dir, "lineitem").where("l_linenumber <= 2").select(F.col("l_partkey").alias("entity_id"), F.col("l_suppkey").alias("holder"), F.concat_ws(":", "l_orderkey", "l_linenumber").alias("fact"), F.col("l_shipdate").alias("since"))
-    once = r.unionByName(r.where("holder % 2 = 0")).groupBy("entity_id", "fact").agg(F.max("holder").alias("holder"), F.max("since").alias("since"))
-    return once.groupBy("entity_id").agg(F.lit("register").alias("source"), F.count(F.lit(1)).alias("facts"), F.count_distinct("holder").alias("roles"), F.max("since").alias("since"))
+    r = table(spark, sf_dir, "lineitem").where("l_linenumber <= 2").select(F.col("l_partkey").alias("entity_id"), F.col("l_suppkey").alias("holder"), F.col("l_orderkey").alias("register"), F.col("l_linenumber").alias("entry"), F.col("l_shipdate").alias("since"))
+    delivered = r.withColumn("delivery", F.lit(1)).unionByName(r.where("holder % 2 = 0").withColumn("delivery", F.lit(2)))
+    return curation.stored_facts(delivered, "entity_id", "holder", "since").select("entity_id", F.lit("register").alias("source"), "facts", "roles", "since")
 
 
 @query("""WITH a AS (SELECT o_custkey AS document_id, o_orderkey AS n, o_orderstatus AS state, o_totalprice AS score FROM orders) SELECT document_id, max(n) AS last, arg_max(state, n) AS state, arg_max(score, n) AS score, count(*) AS versions FROM a GROUP BY 1""")
