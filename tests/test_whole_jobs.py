@@ -7,7 +7,7 @@ import numpy as np
 
 from lodestar import catalogue
 from lodestar.functions import ratios, text
-from lodestar.operators import dedup, spans
+from lodestar.operators import dedup, lexical, spans
 from lodestar.plans import planner
 
 QUERIES = catalogue.queries()
@@ -97,3 +97,17 @@ def test_facts_of_one_number_and_alike_facts_all_count(spark, tmp_path):
     spark.createDataFrame(rows, "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_shipdate timestamp").write.parquet(f"{tmp_path}/lineitem.parquet")
     got = {r.entity_id: (r.facts, r.roles, r.since) for r in QUERIES["register_facts"](spark, str(tmp_path)).collect()}
     assert got == {7: (5, 3, day), 8: (1, 1, datetime(2001, 1, 1))}
+
+
+def test_lexical_tasks_are_bounded_by_documents_and_queries(spark, monkeypatch):
+    docs = spark.range(400).selectExpr("concat('files:', id) document_id", "concat('Docs/red_', id) path", "concat('red ', case when id % 3 = 0 then 'blue' else 'green' end, ' ', id) content")
+    terms = spark.createDataFrame([(q, t) for q in range(30) for t in ("red", "blue", str(q))], "query_id long, term string")
+    whole = sorted(map(tuple, lexical.bm25(docs, terms).collect())), sorted(map(tuple, lexical.best_field(docs, terms).collect()))
+    monkeypatch.setattr(lexical, "HITS", 1000)
+    assert lexical.parts(docs, terms, "query_id") == 13 and lexical.parts(docs, terms, "query_id", times=2) == 26
+    hits, fields = lexical.bm25(docs, terms), lexical.best_field(docs, terms)
+    assert (sorted(map(tuple, hits.collect())), sorted(map(tuple, fields.collect()))) == whole and len(whole[0]) == 400 * 30
+    for df, n in ((hits, 13), (fields, 26)):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "hashpartitioning(document_id#" in plan and f", {n}), REPARTITION_BY_NUM" in plan
+        assert "hashpartitioning(query_id" not in plan
