@@ -9,7 +9,7 @@ from lodestar.catalogue.registry import area
 from lodestar.catalogue.retrieval import _BM25, lexical_hits
 from lodestar.functions import text
 from lodestar.operators import components as cc
-from lodestar.operators import dedup, graph
+from lodestar.operators import dedup, graph, identities
 from lodestar.sources.corpus import CORPUS, corpus
 from lodestar.sources.tables import table
 
@@ -136,16 +136,8 @@ def identity_suggestions(spark, sf_dir):
 
     Without the balances only equal names and names with equal ends reach 0.5, so the pairs are those of one thousand and those of equal ends.
     """
-    ends = lambda w: F.struct(F.element_at(w, 1), F.element_at(w, -1))
-    c = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", "c_mktsegment", text.folded_name("c_name").alias("name"), F.round("c_acctbal", -3).alias("band"))
-    c = c.where("name is not null").withColumn("ends", ends(F.split("name", " ")))
-    block = ["c_nationkey", "c_mktsegment"]
-    a, b = (c.select(*block, "band", "ends", F.col("c_custkey").alias(f"id_{s}"), F.col("name").alias(f"name_{s}")) for s in "ab")
-    near = a.join(b.drop("ends"), [*block, "band"]).where("id_a < id_b").select("id_a", "id_b", "name_a", "name_b", F.lit(0.35).alias("shared"))
-    far = a.join(b.withColumnRenamed("band", "band_b"), [*block, "ends"]).where("id_a < id_b and not coalesce(band = band_b, false)").select("id_a", "id_b", "name_a", "name_b", F.lit(0.0).alias("shared"))
-    pairs = near.unionByName(far).withColumn("ratio", text.indel_ratio("name_a", "name_b"))
-    name = F.when(F.col("name_a") == F.col("name_b"), 0.55).when(text.middle_compatible(F.col("name_a"), F.col("name_b")), 0.52).when(F.col("ratio") >= 96, 0.45).when(F.col("ratio") >= 92, 0.36).when(F.col("ratio") >= 88, 0.27)
-    return pairs.select("id_a", "id_b", F.round("ratio", 4).alias("ratio"), F.when(name.isNotNull(), F.round(F.least(name + F.col("shared"), F.lit(0.99)), 3)).alias("score")).where("score >= 0.5")
+    c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), "c_nationkey", "c_mktsegment", text.folded_name("c_name").alias("name"), F.round("c_acctbal", -3).alias("band"))
+    return identities.suggestions(c.where("name is not null"), "c_nationkey", "c_mktsegment").where("score >= 0.5")
 
 
 @query(f"WITH {CORPUS} SELECT content_hash, count(*) AS n, min(doc_id) AS first FROM corpus GROUP BY 1 HAVING count(*) > 1")

@@ -111,3 +111,27 @@ def test_lexical_tasks_are_bounded_by_documents_and_queries(spark, monkeypatch):
         plan = df._jdf.queryExecution().executedPlan().toString()
         assert "hashpartitioning(document_id#" in plan and f", {n}), REPARTITION_BY_NUM" in plan
         assert "hashpartitioning(query_id" not in plan
+
+
+def test_identities_of_cells_of_many_blocks(spark, tmp_path):
+    rng = random.Random(7)
+    names = [f"{rng.choice(['Ada', 'Bob', ''])} {rng.choice(['', 'King '])}{rng.randint(0, 400):09d}" for _ in range(1200)]
+    rows = [(i, n, 1, rng.choice([1200.0, 1499.0, 1400.0, -300.0, 400.0, None, float("nan")]), "HOME") for i, n in enumerate(names)]
+    rows += [(5000, None, 1, 1.0, "HOME"), (5001, names[0], None, 1200.0, "HOME"), (5002, names[0], 2, 1200.0, "HOME")]
+    schema = "c_custkey long, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string"
+    spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/customer.parquet")
+    got = QUERIES["identity_suggestions"](spark, str(tmp_path))
+    assert "indel_ratio" not in got._jdf.queryExecution().executedPlan().toString()
+    band = lambda v: v if v is None else "nan" if v != v else round(v / 1000)
+    known, want = {}, {}
+    folded = [(i, " ".join(n.lower().split()), band(b)) for i, n, _, b, _ in rows[:1200]]
+    for i, x, s in folded:
+        for j, y, t in folded:
+            if i < j:
+                pair = known.get((x, y)) or known.setdefault((x, y), text.indel(x, y))
+                shared = 0.35 if s is not None and s == t else 0.0
+                u, v = x.split(), y.split()
+                name = 0.55 if x == y else 0.52 if len(u) > 1 < len(v) and (u[0], u[-1]) == (v[0], v[-1]) else next((w for least, w in ((96, 0.45), (92, 0.36), (88, 0.27)) if pair >= least), 0)
+                if name and name + shared >= 0.5:
+                    want[i, j] = (round(pair, 3), round(min(name + shared, 0.99), 3))
+    assert {(r.id_a, r.id_b): (round(r.ratio, 3), r.score) for r in got.collect()} == want and got.count() == len(want)
