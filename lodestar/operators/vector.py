@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-BLOCK = 2048
+BLOCK, STEP = 2048, 128
 BROADCAST_BYTES = 64 << 20
 PACKED = "ids array<long>, names array<string>, matrix binary"
 BEST = "query_id long, chunk long, document_id string, score double"
@@ -38,16 +38,22 @@ def _blocks(rows: DataFrame, identity: str, name: str | None) -> DataFrame:
 def _nearest(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for block in batch.to_pylist():
-                if not block["ids"] or not block["query_ids"]:
+            for r in range(batch.num_rows):  # views of the batch, not copies; scores of STEP queries at a time
+                ids, asked = (batch.column(c)[r].values.to_numpy() for c in ("ids", "query_ids"))
+                if not len(ids) or not len(asked):
                     continue
-                chunks, asked = (np.frombuffer(block[m]).reshape(len(block[i]), -1) for m, i in (("matrix", "ids"), ("queries", "query_ids")))
-                scores, ids = np.round(asked @ chunks.T, 6), np.array(block["ids"])
-                for query, row in zip(block["query_ids"], scores, strict=True):
-                    least = np.partition(row, -k)[-k] if len(row) > k else -np.inf
-                    some = np.flatnonzero(row >= least)
-                    best = some[np.lexsort((ids[some], -row[some]))][:k]
-                    yield pa.RecordBatch.from_arrays([pa.array([query] * len(best), pa.int64()), pa.array(ids[best], pa.int64()), pa.array([block["names"][i] for i in best], pa.string()), pa.array(row[best], pa.float64())], names=[f.split()[0] for f in BEST.split(", ")])
+                names = batch.column("names")[r].values
+                chunks, queries = (np.frombuffer(batch.column(c)[r].as_buffer()).reshape(len(i), -1) for c, i in (("matrix", ids), ("queries", asked)))
+                for start in range(0, len(asked), STEP):
+                    scores = queries[start : start + STEP] @ chunks.T
+                    np.round(scores, 6, out=scores)
+                    best = []
+                    for row in scores:
+                        least = np.partition(row, -k)[-k] if len(row) > k else -np.inf
+                        some = np.flatnonzero(row >= least)
+                        best.append(some[np.lexsort((ids[some], -row[some]))][:k])
+                    query, place = np.repeat(np.arange(len(best)), [len(x) for x in best]), np.concatenate(best)
+                    yield pa.RecordBatch.from_arrays([pa.array(asked[start + query]), pa.array(ids[place]), names.take(pa.array(place)), pa.array(scores[query, place])], names=[f.split()[0] for f in BEST.split(", ")])
 
     return run
 

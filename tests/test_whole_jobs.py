@@ -1,13 +1,15 @@
 """Catalogue queries on small tables of their own."""
 
 import random
+import tracemalloc
 from difflib import SequenceMatcher
 
 import numpy as np
+import pyarrow as pa
 
 from lodestar import catalogue
 from lodestar.functions import ratios, text
-from lodestar.operators import dedup, lexical, spans
+from lodestar.operators import dedup, lexical, spans, vector
 from lodestar.plans import planner
 
 QUERIES = catalogue.queries()
@@ -135,3 +137,23 @@ def test_identities_of_cells_of_many_blocks(spark, tmp_path):
                 if name and name + shared >= 0.5:
                     want[i, j] = (round(pair, 3), round(min(name + shared, 0.99), 3))
     assert {(r.id_a, r.id_b): (round(r.ratio, 3), r.score) for r in got.collect()} == want and got.count() == len(want)
+
+
+def test_vector_scores_hold_few_queries_at_a_time():
+    draw = np.random.default_rng(1)
+    blocks = [(list(range(2048 * n, 2048 * n + 2048)), [f"d{i}" for i in range(2048)], draw.normal(size=(2048, 8)), list(range(2048)), draw.normal(size=(2048, 8))) for n in range(3)]
+    columns = [[(x.tobytes() if isinstance(x, np.ndarray) else x) for x in c] for c in zip(*blocks, strict=True)]
+    batch = pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["ids", "names", "matrix", "query_ids", "queries"])
+    tracemalloc.start()
+    seen = {}
+    for out in vector._nearest(5)(iter([batch])):
+        for q, chunk, score in zip(*(out.column(c).to_pylist() for c in ("query_id", "chunk", "score")), strict=True):
+            if q in (0, 127, 128, 2047):
+                seen.setdefault((q, chunk // 2048), []).append((chunk, score))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    for n, (ids, _, m, _, asked) in enumerate(blocks):
+        for q in (0, 127, 128, 2047):
+            s = np.round(asked[q] @ m.T, 6)
+            assert seen[q, n] == [(ids[i], s[i]) for i in sorted(range(2048), key=lambda i: (-s[i], i))[:5]]
+    assert peak < 16 << 20
