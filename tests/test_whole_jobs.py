@@ -115,6 +115,19 @@ def test_lexical_tasks_are_bounded_by_documents_and_queries(spark, monkeypatch):
         assert "hashpartitioning(query_id" not in plan
 
 
+def test_lexical_tasks_are_bounded_for_long_documents(spark, monkeypatch):
+    docs = spark.range(40).selectExpr("concat('files:', id) document_id", "concat('Docs/', id) path", "array_join(transform(sequence(0, cast(id % 2 * 900 + 99 as int)), x -> concat('w', x)), ' ') content")
+    docs = docs.union(spark.createDataFrame([("files:40", "Docs/40", None)], docs.schema))
+    terms = spark.range(1000).selectExpr("id % 3 query_id", "concat('w', id) term")
+    whole = sorted(map(tuple, lexical.bm25(docs, terms).collect()))
+    monkeypatch.setattr(lexical, "HITS", 1000)
+    n = lexical.parts(docs, terms, "query_id")
+    assert n == -(-(20 * 1000 + 21 * lexical.MATCHED) // 1000)
+    held = lexical.matches(docs, terms, n)
+    assert held.where("term <> ''").count() == 20 * 1000 + 20 * 100
+    assert sorted(map(tuple, lexical.bm25(docs, terms).collect())) == whole and len(whole) == 40 * 3
+
+
 def test_identities_of_cells_of_many_blocks(spark, tmp_path):
     rng = random.Random(7)
     names = [f"{rng.choice(['Ada', 'Bob', ''])} {rng.choice(['', 'King '])}{rng.randint(0, 400):09d}" for _ in range(1200)]
