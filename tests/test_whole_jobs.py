@@ -128,6 +128,21 @@ def test_lexical_tasks_are_bounded_for_long_documents(spark, monkeypatch):
     assert sorted(map(tuple, lexical.bm25(docs, terms).collect())) == whole and len(whole) == 40 * 3
 
 
+def test_hits_go_to_the_texts(spark, tmp_path):
+    texts = ["red blue", "red", "green", None]
+    spark.createDataFrame([(i, t, "en", "s", 1) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, "red"), (2, "blue")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for name, rows in (("batch_budgets", 2), ("rerank_texts", 3), ("prefix_pack", 3), ("fair_share_pack", 3), ("json_pack", 2)):
+            df = QUERIES[name](spark, str(tmp_path))
+            plan = df._jdf.queryExecution().executedPlan().toString()
+            assert "BroadcastHashJoin [document_id#" in plan and "SortMergeJoin [document_id#" not in plan
+            assert df.count() == rows
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_identities_of_cells_of_many_blocks(spark, tmp_path):
     rng = random.Random(7)
     names = [f"{rng.choice(['Ada', 'Bob', ''])} {rng.choice(['', 'King '])}{rng.randint(0, 400):09d}" for _ in range(1200)]
