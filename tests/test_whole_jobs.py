@@ -3,6 +3,7 @@
 import random
 import tracemalloc
 from difflib import SequenceMatcher
+from math import log
 
 import numpy as np
 import pyarrow as pa
@@ -128,6 +129,20 @@ def test_lexical_tasks_are_bounded_for_long_documents(spark, monkeypatch):
     assert sorted(map(tuple, lexical.bm25(docs, terms).collect())) == whole and len(whole) == 40 * 3
 
 
+def test_texts_are_dealt_and_not_their_words(spark):
+    docs = spark.range(90).selectExpr("concat('files:', id) document_id", "case when id % 9 = 0 then null else repeat('red blue ', cast(id % 4 as int)) end content")
+    terms = spark.createDataFrame([(1, "red"), (1, "blue"), (2, "blue"), (2, "none")], "query_id long, term string")
+    got = lexical.bm25(docs, terms, 7)
+    dealt = got._jdf.queryExecution().executedPlan().toString().split("REPARTITION_BY_NUM")[1:]
+    assert dealt and not any("Generate" in x.split("Range (")[0] for x in dealt)
+    lengths = {i: 2 * (i % 4) for i in range(90) if i % 9}
+    average = sum(lengths.values()) / len(lengths)
+    df = sum(n > 0 for n in lengths.values())
+    part = lambda n: log(1 + (90 - df + 0.5) / (df + 0.5)) * n / 2 * 2.2 / (n / 2 + 1.2 * (0.25 + 0.75 * n / average))
+    want = {(q, f"files:{i}"): (round(part(n) * (3 - q), 6), 3 - q) for i, n in lengths.items() if n for q in (1, 2)}
+    assert {(r.query_id, r.document_id): (r.score, r.matched) for r in got.collect()} == want
+
+
 def test_hits_go_to_the_texts(spark, tmp_path):
     texts = ["red blue", "red", "green", None]
     spark.createDataFrame([(i, t, "en", "s", 1) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
